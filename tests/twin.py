@@ -75,7 +75,7 @@ def main():
     wanted = sys.argv[2:]
     path = f"{ROOT}/{sf}"
     spark = build_session("twins", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(path)
