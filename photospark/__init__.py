@@ -1,3 +1,10 @@
 """photospark: photo-corpus label, feature, split, evaluation and pixel jobs on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Batch functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
