@@ -336,11 +336,11 @@ def _(v):
 
 GROUP_ERRORS = SCORES + """,
     perr AS (SELECT s.group_id, c.p2 AS control, l.p2 AS candidate FROM pscore c JOIN pscore l ON l.photo = c.photo AND l.model = 'linear' JOIN split_of s ON s.photo = c.photo WHERE c.model = 'constant'),
-    sums AS (SELECT group_id, sum(control) AS control, sum(candidate) AS candidate, row_number() OVER (ORDER BY group_id) - 1 AS at FROM perr GROUP BY group_id)"""
+    sums AS (SELECT group_id, sum(control) AS control, sum(candidate) AS candidate, row_number() OVER (ORDER BY group_id) - 1 AS pos FROM perr GROUP BY group_id)"""
 DRAWS = 400
 BOOT = GROUP_ERRORS + f""",
-    picks AS (SELECT CAST(id // g AS BIGINT) AS draw, @pick('7-' || id) % g AS at FROM (SELECT count(*) AS g FROM sums) n, LATERAL (SELECT unnest(range(0, {DRAWS} * g)) AS id) r),
-    draws AS (SELECT draw, 1 - sum(candidate) / sum(control) AS gain FROM picks JOIN sums USING (at) GROUP BY draw)"""
+    picks AS (SELECT CAST(id // g AS BIGINT) AS draw, @pick('7-' || id) % g AS pos FROM (SELECT count(*) AS g FROM sums) n, LATERAL (SELECT unnest(range(0, {DRAWS} * g)) AS id) r),
+    draws AS (SELECT draw, 1 - sum(candidate) / sum(control) AS gain FROM picks JOIN sums USING (pos) GROUP BY draw)"""
 
 
 def group_errors(v):

@@ -106,11 +106,11 @@ def _(v):
 
 
 EDGES = PROPOSALS + """, edges AS (SELECT "left" AS u, "right" AS v FROM prop WHERE ("left" + "right") % 7 <> 0),
-    both AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges)"""
+    links AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges)"""
 
 
 @check("g2_connected_components", f"""
-    WITH RECURSIVE {EDGES}, reach AS (SELECT id AS a, id AS b FROM hashes UNION SELECT r.a, e.v FROM reach r JOIN both e ON e.u = r.b)
+    WITH RECURSIVE {EDGES}, reach AS (SELECT id AS a, id AS b FROM hashes UNION SELECT r.a, e.v FROM reach r JOIN links e ON e.u = r.b)
     SELECT a AS id, min(b) AS "group" FROM reach GROUP BY a""", views="hashes captures")
 def _(v):
     return CC.connected_components(v.hashes.select("id"), P.accepted_edges(decided(v)))

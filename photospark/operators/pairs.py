@@ -28,16 +28,14 @@ def block_masks(bits: int, limit: int, blocks: int) -> list[int]:
     return [_signed(sum(ranges[i] for i in kept)) for kept in combinations(range(blocks), blocks - limit)]
 
 
-def choose_blocks(n: int, bits: int, limit: int, per_code: int = 8, max_keys: int = 500) -> int:
-    """Fewest blocks for which about ``per_code`` chance candidates remain per code."""
-    best = limit + 1
-    for blocks in range(limit + 1, bits + 1):
-        if comb(blocks, limit) > max_keys:
-            break
-        best = blocks
-        if n * comb(blocks, limit) / 2 ** (bits * (blocks - limit) / blocks) <= per_code:
-            break
-    return best
+def choose_blocks(n: int, bits: int, limit: int, max_keys: int = 500) -> int:
+    """Number of blocks with the least expected work: keys written plus chance candidates compared."""
+    def work(blocks: int) -> float:
+        keys = comb(blocks, limit)
+        return n * keys + n * n * keys / 2 ** (bits * (blocks - limit) / blocks)
+
+    options = [b for b in range(limit + 1, bits + 1) if comb(b, limit) <= max_keys]
+    return min(options, key=work)
 
 
 def _keys(code: Column, masks: list[int]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from photospark.functions.text import md5_pick
 from photospark.session import collect_bounded
@@ -230,5 +231,5 @@ def quota_select(df: DataFrame, quotas: dict[str, dict[str, int]], n: int, seed:
         used.add(row[group])
         for a, v in zip(attrs, cell):
             have[a][v] = have[a].get(v, 0) + 1
-    picked = df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(chosen)], df.select(key).schema.add("pick_order", "int"))
+    picked = df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(chosen)], df.select(key).schema.add("pick_order", T.IntegerType()))
     return df.join(picked, key)
