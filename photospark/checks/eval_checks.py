@@ -32,7 +32,7 @@ SUMMARY = "avg(abs_norm) AS macro_normalized_mae, (avg(abs_norm) FILTER (WHERE p
 
 
 def truth(v):
-    p = F.col("parameter")
+    p = "parameter"
     t = targets(v).join(v.split_of.select("photo", "split"), "photo")
     return t.withColumn("truth", (F.col("mean") - bound(p, "lo")) * 2 / (bound(p, "hi") - bound(p, "lo")) - 1)
 

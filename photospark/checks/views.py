@@ -151,6 +151,14 @@ VIEWS: dict[str, str] = {
               GROUP BY e.photo, CASE WHEN e.pos < 32 THEN 'center_crop' ELSE 'full_frame' END, m.label) s""",
 }
 
+# the same rows in one scan, where the engine has a row generator for it
+_SPARK_TEXT = {
+    "labels_long": """
+        SELECT photo, expert, parameter, value FROM expert_labels
+        LATERAL VIEW stack(6, 'Exposure', exposure, 'Contrast', contrast, 'Saturation', saturation, 'Temperature', temperature,
+                           'Tint', tint, 'HighlightRecovery', recovery) s AS parameter, value""",
+}
+
 _MACROS = {
     "spark": {
         "pick": r"CAST(conv(substr(md5(\1), 1, 8), 16, 10) AS BIGINT)",
@@ -222,7 +230,8 @@ class View:
 
     def sql(self, body: str, *names: str) -> DataFrame:
         """Run a portable SQL text over the named views."""
-        ctes = [f"{n} AS ({_expand(_tables(VIEWS[n], 'spark', self.path), 'spark').strip()})" for n in _needed(names)]
+        texts = {n: _SPARK_TEXT.get(n, VIEWS[n]) for n in _needed(names)}
+        ctes = [f"{n} AS ({_expand(_tables(t, 'spark', self.path), 'spark').strip()})" for n, t in texts.items()]
         body = _expand(_tables(body, "spark", self.path), "spark")
         return self.spark.sql(("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body)
 

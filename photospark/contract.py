@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,14 +44,11 @@ def parameter_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, parameter string, lo double, hi double")
 
 
-def bound(parameter: Column, side: str) -> Column:
+def bound(parameter: str, side: str) -> Column:
     """Lower (``lo``) or upper (``hi``) bound of the parameter named by a column."""
     at = 1 if side == "lo" else 2
-    return reduce(
-        lambda acc, row: acc.when(parameter == row[0], F.lit(row[at])),
-        PARAMETERS[1:],
-        F.when(parameter == PARAMETERS[0][0], F.lit(PARAMETERS[0][at])),
-    )
+    cases = " ".join(f"WHEN '{row[0]}' THEN {row[at]}D" for row in PARAMETERS)
+    return F.expr(f"CASE {parameter} {cases} END")
 
 
 def finite(value: Column) -> Column:

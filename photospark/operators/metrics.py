@@ -16,7 +16,7 @@ Metric = Callable[[], list[Column]]
 
 
 def _raw(v: Column) -> Column:
-    p = F.col("parameter")
+    p = "parameter"
     return (v + 1) / 2 * (bound(p, "hi") - bound(p, "lo")) + bound(p, "lo")
 
 

@@ -96,6 +96,6 @@ def finite_rows(df: DataFrame, value: str = "value") -> DataFrame:
     return df.where(finite(F.col(value)))
 
 
-def in_bounds(parameter: Column, value: Column) -> Column:
+def in_bounds(parameter: str, value: Column) -> Column:
     """Inclusive contract range of a named parameter."""
     return finite(value) & value.between(bound(parameter, "lo"), bound(parameter, "hi"))
