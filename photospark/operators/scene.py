@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photospark.contract import LIGHTING, SUBJECTS
 from photospark.functions.arrays import cosine, norm
 from photospark.session import collect_bounded
 
@@ -37,9 +38,16 @@ def score_labels(emb: DataFrame, labels: DataFrame, key: str = "photo", limit: i
     return spread.select(key, "view", "_l.family", "_l.label", cosine(F.col("_e"), F.col("_l.vector")).alias("score"))
 
 
+def _label_order(scores: DataFrame) -> Column:
+    """Vocabulary order for named labels, plain order otherwise."""
+    if scores.schema["label"].dataType.simpleString() != "string":
+        return F.col("label")
+    return F.array_position(F.array(*[F.lit(n) for n in (*SUBJECTS, *LIGHTING)]), F.col("label"))
+
+
 def top_two(scores: DataFrame, key: str = "photo") -> DataFrame:
     """Top label, runner-up and gap per (photo, view, family); ties go to the earlier label."""
-    w = Window.partitionBy(key, "view", "family").orderBy(F.desc("score"), "label")
+    w = Window.partitionBy(key, "view", "family").orderBy(F.desc("score"), _label_order(scores))
     ranked = scores.withColumn("_r", F.row_number().over(w)).withColumn("second", F.lead("label").over(w)).withColumn("_s2", F.lead("score").over(w))
     return ranked.where("_r = 1").select(key, "view", "family", F.col("label").alias("top"), "score", "second", (F.col("score") - F.col("_s2")).alias("gap"))
 
