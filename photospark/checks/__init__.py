@@ -11,4 +11,4 @@ def load_checks():
     return registry.CHECKS
 
 
-MODULES = ["view_checks", "label_checks", "eval_checks", "group_checks", "pixel_checks", "run_checks"]
+MODULES = ["view_checks", "label_checks", "eval_checks", "group_checks", "pixel_checks", "run_checks", "plan_checks"]

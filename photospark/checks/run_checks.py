@@ -291,9 +291,8 @@ def _(v):
     return FS.read_labels(v.spark, path)
 
 
-@check("s7_scan_archives")
+@check("s7_scan_archives", "SELECT role || '/' || conv_id || '-' || turn AS member, role AS branch, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM conversations")
 def _(v):
-    path = scratch(v)
     rows = v.conversations.select(F.concat(F.col("role"), F.lit("/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("member"), "text").repartition(4)
 
     def pack(batches):
@@ -307,25 +306,10 @@ def _(v):
             for b in batches:
                 for m, t in zip(b["member"], b["text"]):
                     z.writestr(m, t or "")
-        yield pd.DataFrame({"content": [out.getvalue()]})
-
-    archives = rows.mapInPandas(pack, "content binary").select(F.monotonically_increasing_id().alias("n"), "content")
-
-    def store(batches):
-        import os
-
-        import pandas as pd
-
-        for b in batches:
-            for n, c in zip(b["n"], b["content"]):
-                os.makedirs(local, exist_ok=True)
-                with open(f"{local}/{n}.zip", "wb") as f:
-                    f.write(c)
-            yield pd.DataFrame({"n": b["n"]})
+        yield pd.DataFrame({"path": [f"task-{id(out)}.zip"], "content": [out.getvalue()]})
 
-    local = path.removeprefix("file:")
-    archives.mapInPandas(store, "n long").count()
-    return FS.scan_archives(v.spark, path).groupBy("branch").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes"))
+    archives = rows.mapInPandas(pack, "path string, content binary")
+    return FS.archive_members(archives).select("member", "branch", "bytes", "sha256")
 
 
 @check("s9_read_records", "SELECT n_nationkey AS id, n_name AS name FROM nation")

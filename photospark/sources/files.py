@@ -61,9 +61,12 @@ def read_ledger(spark: SparkSession, path: str, schema: str = LEDGER_COLUMNS) ->
 
 
 def scan_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
-    """(archive, member, branch, bytes, sha256) of every archive member; a repeated member path fails the job."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    """Members of every archive under a folder; see ``archive_members``."""
+    return archive_members(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content"))
 
+
+def archive_members(files: DataFrame) -> DataFrame:
+    """(archive, member, branch, bytes, sha256) of every member of (path, content) rows; a repeated member path fails the job."""
     def members(batches):
         import hashlib
         import io
