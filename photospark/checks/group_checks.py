@@ -11,6 +11,7 @@ from photospark.operators import labels as L
 from photospark.operators import pairs as P
 from photospark.operators import splits as S
 from photospark.operators import status as ST
+from photospark.session import cut_lineage
 
 CODES = "codes AS (SELECT d, p, min(id) AS rep, count(*) AS n FROM hashes GROUP BY d, p)"
 
@@ -95,7 +96,7 @@ def _(v):
 
 
 def decided(v):
-    p = proposals(v)
+    p = cut_lineage(proposals(v))
     decision = p.select("left", "right", F.when((F.col("left") + F.col("right")) % 7 == 0, "reject").otherwise("merge").alias("decision"))
     return P.reviewed(p, decision)
 

@@ -151,12 +151,19 @@ VIEWS: dict[str, str] = {
               GROUP BY e.photo, CASE WHEN e.pos < 32 THEN 'center_crop' ELSE 'full_frame' END, m.label) s""",
 }
 
+def _spark_bits(pairs) -> str:
+    return " + ".join(f"(CASE WHEN c[{a}] > c[{b}] THEN {1 << i}L ELSE 0L END)" for i, (a, b) in enumerate(pairs))
+
+
 # the same rows in one scan, where the engine has a row generator for it
 _SPARK_TEXT = {
     "labels_long": """
         SELECT photo, expert, parameter, value FROM expert_labels
         LATERAL VIEW stack(6, 'Exposure', exposure, 'Contrast', contrast, 'Saturation', saturation, 'Temperature', temperature,
                            'Tint', tint, 'HighlightRecovery', recovery) s AS parameter, value""",
+    "hashes": f"""
+        SELECT doc_id AS id, {_spark_bits([(i + 1, i) for i in range(32)])} AS d, {_spark_bits([(i, (i + 13) % 33) for i in range(32)])} AS p
+        FROM (SELECT doc_id, explode(array(array({", ".join(_letter(i) for i in range(33))}))) AS c FROM {{documents}})""",
 }
 
 _MACROS = {

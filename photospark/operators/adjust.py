@@ -135,10 +135,10 @@ def dark_controls(pixels: DataFrame, ids: DataFrame, factor: float = 0.125) -> D
     return chosen.select(F.concat(F.col("photo").cast("string"), F.lit("_dark_control")).alias("photo"), F.col("photo").alias("parent"), "y", "x", *[dim(c) for c in RGB])
 
 
-def apply_lut3d(pixels: DataFrame, bases: DataFrame, weights: DataFrame, nodes: int = 33) -> DataFrame:
+def apply_lut3d(pixels: DataFrame, bases: DataFrame, weights: DataFrame, nodes: int = 33, count: int = 3) -> DataFrame:
     """Trilinear lookup in the weighted sum of basis tables, without a shuffle of the pixels.
 
-    ``bases``: nodes^3 rows (ri, gi, bi, v) with v = array of per-basis channel triples; its size is fixed by
+    ``bases``: nodes^3 rows (ri, gi, bi, v) with v = array of ``count`` channel triples; its size is fixed by
     ``nodes``, so each of the eight corner lookups is a broadcast. ``weights``: (photo, weights array).
     """
     if nodes > 65:
@@ -158,7 +158,7 @@ def apply_lut3d(pixels: DataFrame, bases: DataFrame, weights: DataFrame, nodes:
             node = node * nodes + F.least(F.col(f"_i{c}") + up[k], F.lit(nodes - 1))
             share = share * (F.col(f"_f{c}") if up[k] else F.lit(1.0) - F.col(f"_f{c}"))
         p = p.withColumn("_node", node).join(table.withColumnRenamed("v", f"_v{corner}"), "_node").drop("_node").withColumn(f"_w{corner}", share)
-        value = lambda i, v=f"_v{corner}": F.aggregate(F.zip_with("weights", v, lambda w, t: w * t[i]), F.lit(0.0), lambda a, b: a + b)
+        value = lambda i, v=f"_v{corner}": sum((F.col("weights")[k] * F.col(v)[k][i] for k in range(1, count)), F.col("weights")[0] * F.col(v)[0][i])
         mixed = [m + value(i) * F.col(f"_w{corner}") for i, m in enumerate(mixed)]
     return p.select("photo", "y", "x", *RGB, *[F.floor(K.clamp(m * 255 + 0.5, 0.0, 255.0)).cast("int").alias("out_" + c) for m, c in zip(mixed, RGB)])
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from photospark.contract import require
 from photospark.functions.arrays import hamming
+from photospark.session import cut_lineage
 
 
 def _signed(mask: int) -> int:
@@ -62,9 +63,10 @@ def near_dup_pairs(hashes: DataFrame, d: int = 4, p: int = 8, bits: int = 64, bl
 
     Codes are matched on bit blocks that must agree (exact recall); a block value shared by more than
     ``hot`` codes is matched on blocks of the second hash as well. A pair is kept under its first agreeing
-    key only, so no de-duplication shuffle follows. Copies of one code: ``copy_links``.
+    key only, so no de-duplication shuffle follows. The codes are written once because they are counted and
+    read from both sides of the join. Copies of one code: ``copy_links``.
     """
-    codes = hash_codes(hashes, id_col)
+    codes = cut_lineage(hash_codes(hashes, id_col))
     if blocks is None:
         blocks = choose_blocks(codes.count(), bits, d)
     d_masks = block_masks(bits, d, blocks)
