@@ -58,6 +58,12 @@ def _(v):
     return P.burst_pairs(v.captures, ["camera"], 600)
 
 
+@check("j7_burst_links", f"""WITH {INSTANTS}, nx AS (SELECT inst.rep AS r1, inst.at AS t1, lead(inst.rep) OVER w AS r2, lead(inst.at) OVER w AS t2 FROM inst WINDOW w AS (PARTITION BY camera ORDER BY inst.at))
+    SELECT least(r1, r2) AS "left", greatest(r1, r2) AS "right" FROM nx WHERE t2 - t1 <= 600000000""", views="captures")
+def _(v):
+    return P.burst_links(v.captures, ["camera"], 600, bins=16)
+
+
 @check("w3_burst_neighbors", f"""
     WITH {INSTANTS} SELECT camera, a.at, rep, n, (SELECT CAST(coalesce(sum(b.n), 0) AS BIGINT) FROM inst b WHERE b.camera = a.camera AND b.at > a.at AND b.at <= a.at + 600000000) AS following,
       coalesce((SELECT CAST(min(b.at) - a.at AS DOUBLE) / 1e6 FROM inst b WHERE b.camera = a.camera AND b.at > a.at AND b.at <= a.at + 600000000), -1) AS next_gap FROM inst a""", views="captures", doubles="next_gap")

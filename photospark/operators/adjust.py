@@ -69,13 +69,13 @@ def protect_color(both: DataFrame, settings: DataFrame, caps: DataFrame | None =
 
 
 def lift_shadows(pixels: DataFrame, strengths: DataFrame) -> DataFrame:
-    """Common-gain shadow lift with headroom; strength 0 keeps the pixels. ``strengths``: (photo, strength)."""
+    """Common-gain shadow lift with headroom into out_*; strength 0 keeps the pixels. ``strengths``: (photo, strength)."""
     p = pixels.join(strengths.select("photo", "strength"), "photo").withColumn("_y", unit_luma())
     target = K.shadow_curve(F.col("_y"), F.col("strength"))
     peak = F.greatest(*[unit(c) for c in RGB])
     gain = F.least(target / F.greatest("_y", F.lit(1e-7)), _ceiling() / F.greatest(peak, F.lit(1e-7)))
     p = p.withColumn("_g", gain)
-    return p.select("photo", "y", "x", *RGB, *[F.when(F.col("strength") == 0, F.col(c)).otherwise(K.floor_code(unit(c) * F.col("_g"))).alias("out_" + c) for c in RGB])
+    return p.select(*pixels.columns, *[F.when(F.col("strength") == 0, F.col(c)).otherwise(K.floor_code(unit(c) * F.col("_g"))).alias("out_" + c) for c in RGB])
 
 
 def apply_wb(pixels: DataFrame, coefficients: DataFrame, tint_only: bool = False) -> DataFrame:
@@ -170,12 +170,21 @@ def _black(prefix: str) -> Column:
     return F.greatest(*[F.col(prefix + c) for c in RGB]) == 0
 
 
+def _endpoints(src: str, out: str) -> list[Column]:
+    """Counts of newly black and newly full positions."""
+    return [F.count_if(_black(out) & ~_black(src)), F.count_if(new_full(src, out))]
+
+
+def _darkening(src: str, out: str) -> Column:
+    """Largest luma loss, in codes, where the source is in shadow."""
+    y0, y1 = (K.luma(*[F.col(p + c).cast("double") for c in RGB]) for p in (src, out))
+    return F.coalesce(F.least(F.min(F.when(unit_luma(src) <= 0.35, y1 - y0)), F.lit(0.0)), F.lit(0.0))
+
+
 def endpoint_guard(rows: DataFrame, key: str = "photo") -> DataFrame:
     """Newly black and newly full positions of out_* against r, g, b, and the largest shadow darkening."""
-    y0, y1 = K.luma(*[F.col(c).cast("double") for c in RGB]), K.luma(*[F.col("out_" + c).cast("double") for c in RGB])
-    g = rows.groupBy(key).agg(
-        F.count_if(_black("out_") & ~_black("")).alias("new_black"), F.count_if(new_full("", "out_")).alias("new_full"),
-        F.coalesce(F.least(F.min(F.when(unit_luma() <= 0.35, y1 - y0)), F.lit(0.0)), F.lit(0.0)).alias("shadow_delta"))
+    black, full = _endpoints("", "out_")
+    g = rows.groupBy(key).agg(black.alias("new_black"), full.alias("new_full"), _darkening("", "out_").alias("shadow_delta"))
     return g.withColumn("accepted", (F.col("new_black") == 0) & (F.col("new_full") == 0) & (F.col("shadow_delta") >= -0.501))
 
 
@@ -336,13 +345,16 @@ def natural_adjust(pixels: DataFrame, proposal: DataFrame, limits: DataFrame, ed
     both = E.join_pixels(pixels, proposal)
     sampled = E.sample_grid(both, edge)
     based = protect_color(both, E.natural_settings(sampled), limits)
-    base_guard = endpoint_guard(based).select("photo", F.col("accepted").alias("_base_ok"))
     suggested = E.shadow_settings(sampled).join(limits.select("photo", "shadow_strength"), "photo").select(
         "photo", F.least("suggested_strength", "shadow_strength").alias("strength"))
-    base = based.select("photo", "y", "x", *[F.col("out_" + c).alias(c) for c in RGB])
-    lifted = lift_shadows(base, suggested).select("photo", "y", "x", *[F.col("out_" + c).alias("adj_" + c) for c in RGB])
-    final = pixels.join(lifted, ["photo", "y", "x"]).select("photo", "y", "x", *RGB, *[F.col("adj_" + c).alias("out_" + c) for c in RGB])
-    report = endpoint_guard(final).join(base_guard, "photo").join(suggested, "photo").select(
-        "photo", "new_black", "new_full", "strength", ((F.col("new_black") == 0) & (F.col("new_full") == 0) & F.col("_base_ok")).alias("applied"))
+    # source, base and final pixels stay on one row, so the pixel tables are joined only once
+    base = based.select("photo", "y", "x", *[F.col(c).alias("src_" + c) for c in RGB], *[F.col("out_" + c).alias(c) for c in RGB])
+    final = lift_shadows(base, suggested)
+    base_black, base_full = _endpoints("src_", "")
+    black, full = _endpoints("src_", "out_")
+    guard = final.groupBy("photo").agg(black.alias("new_black"), full.alias("new_full"), (base_black + base_full).alias("_base"), _darkening("src_", "").alias("_dark"))
+    report = guard.join(suggested, "photo").select(
+        "photo", "new_black", "new_full", "strength",
+        ((F.col("new_black") + F.col("new_full") + F.col("_base") == 0) & (F.col("_dark") >= -0.501)).alias("applied"))
     kept = final.join(report.select("photo", "applied"), "photo")
-    return kept.select("photo", "y", "x", *[F.when(F.col("applied"), F.col("out_" + c)).otherwise(F.col(c)).alias(c) for c in RGB]), report
+    return kept.select("photo", "y", "x", *[F.when(F.col("applied"), F.col("out_" + c)).otherwise(F.col("src_" + c)).alias(c) for c in RGB]), report

@@ -14,23 +14,19 @@ def group_sums(errors: DataFrame, group: str = "group_id") -> DataFrame:
     return errors.groupBy(group).agg(F.sum("control").alias("control"), F.sum("candidate").alias("candidate"), F.count(F.lit(1)).alias("n"))
 
 
-def paired_bootstrap(errors: DataFrame, draws: int, seed: int, group: str = "group_id", slots: int = 1 << 20) -> DataFrame:
+def paired_bootstrap(errors: DataFrame, draws: int, seed: int, group: str = "group_id") -> DataFrame:
     """2.5/97.5 % interval of the relative improvement when whole groups are resampled.
 
-    Pick ``i`` of draw ``b`` is an MD5-derived position. Positions and group sums meet in one equi-join; the
-    picks are first counted per (draw, position), so a draw never moves more rows than there are groups.
+    Pick ``i`` of draw ``b`` is an MD5-derived position, so picks are generated in parallel and spread evenly
+    over the positions; they meet the group sums in one equi-join and are summed per draw map-side.
     """
-    spark = errors.sparkSession
     sums = global_rank(group_sums(errors, group), [F.col(group)], "position").withColumn("_at", F.col("position") - 1).drop("position")
     total = sums.count()
     if total == 0:
         raise ValueError("no groups to resample")
-    picks = spark.range(draws * total).select(
-        F.floor(F.col("id") / total).alias("draw"), md5_pick(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"))).alias("_pick")
-    ).select("draw", F.pmod("_pick", F.lit(total)).alias("_at"))
-    times = picks.groupBy("draw", "_at").agg(F.count(F.lit(1)).alias("_times")) if total > slots else picks.withColumn("_times", F.lit(1))
-    scores = times.join(sums, "_at").groupBy("draw").agg(
-        F.sum(F.col("control") * F.col("_times")).alias("control"), F.sum(F.col("candidate") * F.col("_times")).alias("candidate"))
+    picks = errors.sparkSession.range(draws * total).select(
+        F.floor(F.col("id") / total).alias("draw"), F.pmod(md5_pick(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"))), F.lit(total)).alias("_at"))
+    scores = picks.join(sums, "_at").groupBy("draw").agg(F.sum("control").alias("control"), F.sum("candidate").alias("candidate"))
     # one value per draw: the percentile state is bounded by the number of draws
     gain = F.lit(1.0) - F.col("candidate") / F.col("control")
     return scores.agg(F.percentile(gain, F.array(F.lit(0.025), F.lit(0.975))).alias("_q")).select(

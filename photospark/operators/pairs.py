@@ -116,11 +116,7 @@ def burst_neighbors(ctx: DataFrame, keys: list[str], gap_seconds: float = 3.0, t
     before it, so one busy camera is spread over many tasks.
     """
     gap = int(gap_seconds * 1_000_000)
-    width = gap * bins
-    points = instants(ctx, keys, t, id_col)
-    slot = F.floor(F.col("at") / width).cast("long")
-    offset = F.col("at") - slot * width
-    placed = points.withColumn("_bin", F.explode(F.when(offset <= gap, F.array(slot, slot - 1)).otherwise(F.array(slot)))).withColumn("_own", F.col("_bin") == slot)
+    placed = _binned(instants(ctx, keys, t, id_col), gap, bins)
     w = Window.partitionBy(*keys, "_bin").orderBy("at")
     step = F.lead("at").over(w) - F.col("at")
     out = placed.withColumn("following", F.coalesce(F.sum("n").over(w.rangeBetween(1, gap)), F.lit(0))).withColumn(
@@ -128,6 +124,23 @@ def burst_neighbors(ctx: DataFrame, keys: list[str], gap_seconds: float = 3.0, t
     return out.where("_own").select(*keys, "at", "rep", "n", "following", "next_gap")
 
 
+def burst_links(ctx: DataFrame, keys: list[str], gap_seconds: float = 3.0, t: str = "t", id_col: str = "id", bins: int = 256) -> DataFrame:
+    """(left, right) chains of consecutive instants within the gap: the same groups as all pairs, one row per instant."""
+    gap = int(gap_seconds * 1_000_000)
+    placed = _binned(instants(ctx, keys, t, id_col), gap, bins)
+    w = Window.partitionBy(*keys, "_bin").orderBy("at")
+    chained = placed.withColumn("_to", F.lead("rep").over(w)).withColumn("_step", F.lead("at").over(w) - F.col("at"))
+    return chained.where(F.col("_own") & (F.col("_step") <= gap)).select(F.least("rep", "_to").alias("left"), F.greatest("rep", "_to").alias("right"))
+
+
+def _binned(points: DataFrame, gap: int, bins: int) -> DataFrame:
+    """Instants in time bins of ``bins`` gaps, with the head of each bin copied to the bin before it."""
+    width = gap * bins
+    slot = F.floor(F.col("at") / width).cast("long")
+    offset = F.col("at") - slot * width
+    return points.withColumn("_bin", F.explode(F.when(offset <= gap, F.array(slot, slot - 1)).otherwise(F.array(slot)))).withColumn("_own", F.col("_bin") == slot)
+
+
 def merge_pairs(*parts: DataFrame) -> DataFrame:
     """Union of (left, right, dhash, phash, reason) rows, oriented and merged with their distinct reasons."""
     rows = parts[0]

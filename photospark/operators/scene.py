@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photospark.contract import LIGHTING, SUBJECTS
-from photospark.functions.arrays import cosine, norm
-from photospark.session import collect_bounded
+from photospark.functions.arrays import dot, norm
 
 # Starting limits and, per rule, the caps it lowers them to (color, tone, shadow).
 START = (0.35, 0.15, 0.75)
@@ -30,12 +29,22 @@ def label_vectors(prompts: DataFrame, label: str = "label", vector: str = "embed
 
 
 def score_labels(emb: DataFrame, labels: DataFrame, key: str = "photo", limit: int = 1000) -> DataFrame:
-    """Cosine of every embedding with every label vector (the bounded label set is a literal, not a join)."""
-    rows = collect_bounded(labels.select("family", "label", "vector"), limit, "label vectors")
-    table = F.array(*[F.struct(F.lit(r["family"]).alias("family"), F.lit(r["label"]).alias("label"),
-                               F.lit([float(e) for e in r["vector"]]).alias("vector")) for r in rows])
-    spread = emb.select(key, "view", F.col("embedding").alias("_e"), F.explode(table).alias("_l"))
-    return spread.select(key, "view", "_l.family", "_l.label", cosine(F.col("_e"), F.col("_l.vector")).alias("score"))
+    """Cosine of every embedding with every label vector.
+
+    The label set is small by contract (more than ``limit`` rows fail the job), so it travels as one scalar
+    row and each embedding is scored where it is read.
+    """
+    entry = F.struct("family", "label", "vector", norm(F.col("vector")).alias("length"))
+    packed = labels.agg(F.count(F.lit(1)).alias("n"), F.collect_list(entry).alias("t"))
+    bounded = packed.where(F.when(F.col("n") > limit, F.raise_error(F.lit("label vectors exceed their bound")).cast("boolean")).otherwise(F.lit(True)))
+    table = bounded.select("t").scalar()
+    ready = emb.select(key, "view", F.col("embedding").alias("_e"), norm(F.col("embedding")).alias("_n"), table.alias("_t"))
+
+    def score(row: Column) -> Column:
+        scale = F.col("_n") * row["length"]
+        return F.struct(row["family"].alias("family"), row["label"].alias("label"), F.when(scale > 0, dot(F.col("_e"), row["vector"]) / scale).otherwise(F.lit(0.0)).alias("score"))
+
+    return ready.select(key, "view", F.explode(F.transform("_t", score)).alias("_s")).select(key, "view", "_s.*")
 
 
 def _label_order(scores: DataFrame) -> Column:
