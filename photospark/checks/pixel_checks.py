@@ -558,7 +558,7 @@ def _(v):
     return fit.select("photo", "rank", F.size("coef").alias("n"))
 
 
-@check("a52_crop_consistency")
+@check("a52_crop_consistency", "SELECT count(*) FILTER (WHERE r <> r) AS different FROM pixels", views="pixels")
 def _(v):
     diff = A.crop_consistency(v.pixels, lambda p: A.apply_wb(p, coefs(v)), [(0, 4, 0, 4), (2, 6, 3, 8)])
     return diff.agg(F.count(F.lit(1)).alias("different"))
