@@ -11,17 +11,23 @@ from photospark.session import cut_lineage, one_row
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10000) -> DataFrame:
     """Rows (keys.., p, value): linear-interpolated percentiles, equal to a full sort.
 
-    A mergeable sketch brackets each wanted rank. Values below and above a bracket are only counted
-    (keeping the nearest one), values inside it are grouped with counts, so what is finally ordered per
-    key is a few ten-thousandths of the group. A rank outside its bracket fails the job.
+    Sketches of up to 64 parts bracket each wanted rank: a quantile of the whole always lies between the smallest
+    and the largest of the parts' quantiles, so no task has to merge every sketch. Values below and above
+    a bracket are only counted (keeping the nearest one), values inside it are grouped with counts, so what is
+    finally ordered per key is a small share of the group. A rank outside its bracket fails the job.
     """
     margin = 2.0 / accuracy
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     lows = [max(0.0, p - margin) for p in probs]
     highs = [min(1.0, p + margin) for p in probs]
-    sketch = src.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", lows + highs, accuracy).alias("_q"))
+    parts = src.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy(*keys, "_part").agg(
+        F.count("_v").alias("_n"), F.percentile_approx("_v", lows + highs, accuracy).alias("_q"))
+    sketch = parts.groupBy(*keys).agg(
+        F.sum("_n").alias("_n"),
+        *[F.min(F.col("_q")[i]).alias(f"_lo{i}") for i in range(len(probs))],
+        *[F.max(F.col("_q")[len(probs) + i]).alias(f"_hi{i}") for i in range(len(probs))])
     spans = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.col("_q")[i].alias("lo"), F.col("_q")[len(probs) + i].alias("hi"))
+        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
         for i, p in enumerate(probs)
     ])
     if keys:
