@@ -185,7 +185,7 @@ def codes(p=""):
     return lum(d(p + "r"), d(p + "g"), d(p + "b"))
 
 
-@check("a49_luma_summary", f"SELECT photo, avg(l) AS luma_mean, quantile_cont(l, 0.1) AS q10, quantile_cont(l, 0.3) AS q30, quantile_cont(l, 0.9) AS q90 FROM (SELECT photo, {codes()} AS l FROM pixels) q GROUP BY photo", views="pixels", doubles="luma_mean q10 q30 q90", digits=10)
+@check("a49_luma_summary", f"SELECT photo, avg(l) AS luma_mean, quantile_cont(l, 0.1) AS q10, quantile_cont(l, 0.3) AS q30, quantile_cont(l, 0.9) AS q90 FROM (SELECT photo, {codes()} AS l FROM pixels) q GROUP BY photo", views="pixels", doubles="luma_mean q10 q30 q90")
 def _(v):
     return E.luma_summary(E.sample_grid(v.pixels, 512))
 
@@ -196,7 +196,7 @@ def _(v):
 
 
 @check("a47_region_stats", f"""SELECT photo, region, avg(l) AS luma_mean, quantile_cont(l, 0.5) AS luma_median FROM (SELECT photo, region, {codes()} AS l FROM pixels,
-    (VALUES ('sky', 0, 0.5, 0, 1), ('center', 0.25, 0.75, 0.25, 0.75)) b(region, y0, y1, x0, x1) WHERE y / CAST(8 AS DOUBLE) >= y0 AND y / CAST(8 AS DOUBLE) < y1 AND x / CAST(8 AS DOUBLE) >= x0 AND x / CAST(8 AS DOUBLE) < x1) q GROUP BY photo, region""", views="pixels", doubles="luma_mean luma_median", digits=9)
+    (VALUES ('sky', 0, 0.5, 0, 1), ('center', 0.25, 0.75, 0.25, 0.75)) b(region, y0, y1, x0, x1) WHERE y / CAST(8 AS DOUBLE) >= y0 AND y / CAST(8 AS DOUBLE) < y1 AND x / CAST(8 AS DOUBLE) >= x0 AND x / CAST(8 AS DOUBLE) < x1) q GROUP BY photo, region""", views="pixels", doubles="luma_mean luma_median")
 def _(v):
     return E.region_stats(v.pixels, [("sky", 0, 0.5, 0, 1), ("center", 0.25, 0.75, 0.25, 0.75)])
 

@@ -23,12 +23,15 @@ CHECKS: dict[str, Check] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating-point column so that both engines compare equal."""
+    """Round every floating-point column so that both engines compare equal.
+
+    A nudge far below the last digit decides exact halves the same way whatever the order of summation was.
+    """
     cols = []
     for field in df.schema.fields:
         col = F.col(f"`{field.name}`")
         if field.dataType.typeName() in ("double", "float"):
-            col = (F.round(col.cast("double"), digits) + F.lit(0.0)).alias(field.name)
+            col = (F.round(col.cast("double") + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)).alias(field.name)
         cols.append(col)
     return df.select(*cols)
 
@@ -39,7 +42,8 @@ def check(name: str, sql: str | None = None, views: str = "", doubles: str = "",
     if sql is not None:
         body = sql.strip()
         if doubles:
-            fixed = ", ".join(f"(round(CAST({c} AS DOUBLE), {digits}) + 0.0) AS {c}" for c in doubles.split())
+            nudge = 10.0 ** -(digits + 3)
+            fixed = ", ".join(f"(round(CAST({c} AS DOUBLE) + CAST({nudge!r} AS DOUBLE), {digits}) + 0.0) AS {c}" for c in doubles.split())
             body = f"SELECT * REPLACE ({fixed}) FROM (\n{body}\n)"
         text = with_views(body, views.split())
 
