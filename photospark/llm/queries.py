@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photospark.llm import chat, urls
+from photospark.llm import chat, language, quality, toxicity, urls
 from photospark.llm.stage import Stage
 
 
@@ -26,6 +26,34 @@ def op9_chat_format(spark: SparkSession, path: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op2_isolation_rules(spark: SparkSession, path: str) -> DataFrame:
+    return quality.judge(table(spark, path, "documents"), table(spark, path, "labels"), Stage(spark, "quality"))
+
+
+def op10_hyper_language(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents").select("doc_id", "text", "lang")
+    held = remainder("doc_id", 3) == 1
+    model = language.fit_prototypes(docs.where(~held))
+    out = language.predict(docs, *model)
+    return out.withColumn("held_out", remainder("doc_id", 3) == 1)
+
+
+def op7_toxic_grammar(spark: SparkSession, path: str) -> DataFrame:
+    """Learned from at most about 40,000 labelled rows of the training folds, taken by hash: the bound of the fit."""
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    labels = table(spark, path, "labels").where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").where(remainder("doc_id", 5) != 0)
+    share = 40_000 / max(1, labels.count())
+    drawn = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < share * 1_000_000)
+    taught = Stage(spark, "toxic").write(docs.join(drawn, "doc_id"), "taught")
+    out = toxicity.score(docs, *toxicity.fit(taught))
+    return out.withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
+def remainder(column: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n; null ids count as 0."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)), F.lit(0))
+
+
 SQL = {}
 SQL["op9_chat_format"] = f"""
 WITH all_rows AS (
@@ -55,4 +83,4 @@ def _sql_escape(column: str) -> str:
 
 
 SQL["op9_chat_format"] = SQL["op9_chat_format"].format(esc_text=_sql_escape("text"), esc_role=_sql_escape("role"))
-QUERIES = {f.__name__: f for f in (op6_url_rules, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_isolation_rules, op6_url_rules, op7_toxic_grammar, op9_chat_format, op10_hyper_language)}
