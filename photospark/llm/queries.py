@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photospark.llm import chat, language, quality, toxicity, urls
+from photospark.llm import chat, language, near, quality, toxicity, urls
 from photospark.llm.stage import Stage
 
 
@@ -38,6 +38,10 @@ def op10_hyper_language(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("held_out", remainder("doc_id", 3) == 1)
 
 
+def op3_circulant_minhash(spark: SparkSession, path: str) -> DataFrame:
+    return near.near_duplicates(table(spark, path, "documents"), Stage(spark, "near"))
+
+
 def op7_toxic_grammar(spark: SparkSession, path: str) -> DataFrame:
     """Learned from at most about 40,000 labelled rows of the training folds, taken by hash: the bound of the fit."""
     docs = table(spark, path, "documents").select("doc_id", "text")
@@ -83,4 +87,4 @@ def _sql_escape(column: str) -> str:
 
 
 SQL["op9_chat_format"] = SQL["op9_chat_format"].format(esc_text=_sql_escape("text"), esc_role=_sql_escape("role"))
-QUERIES = {f.__name__: f for f in (op2_isolation_rules, op6_url_rules, op7_toxic_grammar, op9_chat_format, op10_hyper_language)}
+QUERIES = {f.__name__: f for f in (op2_isolation_rules, op3_circulant_minhash, op6_url_rules, op7_toxic_grammar, op9_chat_format, op10_hyper_language)}

@@ -89,11 +89,12 @@ def score_of(found: dict[str, int], weights: dict[str, float], base: float) -> f
     return 1.0 - free
 
 
-def learn_insults(taught: DataFrame, min_toxic: int = 3, precision: float = 0.9, longest: int = 6, shortest: int = 4, most: int = 20_000) -> tuple[list[str], list[str]]:
+def learn_insults(taught: DataFrame, min_toxic: int = 3, precision: float = 0.85, sure: float = 0.95, longest: int = 9, shortest: int = 4, most: int = 20_000) -> tuple[list[str], list[str]]:
     """(words, stems) that mark toxic texts, from (doc_id, text, toxic).
 
     Counted per text in Spark: whole words and their beginnings of ``shortest`` to ``longest`` letters. A word needs
-    ``min_toxic`` toxic texts and ``precision`` (with one clean text added); a stem also three different words.
+    ``min_toxic`` toxic texts and ``precision`` (with one clean text added); a stem
+    twice as many, three words and the share ``sure``.
     The lexicon keeps the ``most`` best, its documented size. Stems that begin with another stem are left out.
     """
     def spell(batches):
@@ -107,14 +108,13 @@ def learn_insults(taught: DataFrame, min_toxic: int = 3, precision: float = 0.9,
     counted = taught.select("text", F.col("toxic").cast("long")).mapInArrow(spell, "word string, toxic long").groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
 
-    def good(bad: str, n: str):
-        return (F.col(bad) >= min_toxic) & (F.col(bad) >= precision * (F.col(n) + 1))
-
+    plain = (F.col("bad") >= min_toxic) & (F.col("bad") >= precision * (F.col("n") + 1))
+    stem = (F.col("bad") >= 2 * min_toxic) & (F.col("bad") >= sure * (F.col("n") + 1)) & (F.col("kinds") >= 3)
     starts = F.transform(F.sequence(F.lit(shortest), F.lit(longest)), lambda k: F.when(F.length("word") > k, F.substring("word", F.lit(1), k)))
     both = counted.select(F.explode(F.concat(F.array(F.struct(F.col("word").alias("x"), F.lit(False).alias("stem"))), F.transform(
         F.filter(starts, lambda s: s.isNotNull()), lambda s: F.struct(s.alias("x"), F.lit(True).alias("stem"))))).alias("k"), "n", "bad")
     found = both.groupBy("k").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("kinds"))
-    kept = found.where(good("bad", "n") & (~F.col("k.stem") | (F.col("kinds") >= 3))).orderBy(F.desc(F.col("bad") / (F.col("n") + 1)), F.desc("bad"), "k").limit(most)
+    kept = found.where(F.when(F.col("k.stem"), stem).otherwise(plain)).orderBy(F.desc(F.col("bad") / (F.col("n") + 1)), F.desc("bad"), "k").limit(most)
     rows = [(r["k"]["x"], r["k"]["stem"]) for r in kept.collect()]
     stems: list[str] = []
     for s in sorted(x for x, stem in rows if stem):
