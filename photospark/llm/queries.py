@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photospark.llm import chat, language, near, quality, toxicity, urls
+from photospark.llm import chat, decontaminate, language, near, quality, toxicity, urls
 from photospark.llm.stage import Stage
 
 
@@ -26,6 +26,10 @@ def op9_chat_format(spark: SparkSession, path: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op1_string_tiling(spark: SparkSession, path: str) -> DataFrame:
+    return decontaminate.judge(table(spark, path, "documents"), table(spark, path, "benchmark"))
+
+
 def op2_isolation_rules(spark: SparkSession, path: str) -> DataFrame:
     return quality.judge(table(spark, path, "documents"), table(spark, path, "labels"), Stage(spark, "quality"))
 
@@ -87,4 +91,4 @@ def _sql_escape(column: str) -> str:
 
 
 SQL["op9_chat_format"] = SQL["op9_chat_format"].format(esc_text=_sql_escape("text"), esc_role=_sql_escape("role"))
-QUERIES = {f.__name__: f for f in (op2_isolation_rules, op3_circulant_minhash, op6_url_rules, op7_toxic_grammar, op9_chat_format, op10_hyper_language)}
+QUERIES = {f.__name__: f for f in (op1_string_tiling, op2_isolation_rules, op3_circulant_minhash, op6_url_rules, op7_toxic_grammar, op9_chat_format, op10_hyper_language)}
