@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photospark.llm import chat, decontaminate, language, near, quality, toxicity, urls
+from photospark.llm import chat, decontaminate, language, near, packing, quality, resharding, toxicity, urls
 from photospark.llm.stage import Stage
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def op4_vector_best_fit(spark: SparkSession, path: str) -> DataFrame:
+    return packing.pack(table(spark, path, "documents"), TOKENIZER, Stage(spark, "packing"))
+
+
+def op5_flow_resharding(spark: SparkSession, path: str) -> DataFrame:
+    out = resharding.reshard(table(spark, path, "documents"), F.col("source"), Stage(spark, "shards"), 24)
+    return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op6_url_rules(spark: SparkSession, path: str) -> DataFrame:
     lists = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
     labels = table(spark, path, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("blocked"))
@@ -91,4 +103,4 @@ def _sql_escape(column: str) -> str:
 
 
 SQL["op9_chat_format"] = SQL["op9_chat_format"].format(esc_text=_sql_escape("text"), esc_role=_sql_escape("role"))
-QUERIES = {f.__name__: f for f in (op1_string_tiling, op2_isolation_rules, op3_circulant_minhash, op6_url_rules, op7_toxic_grammar, op9_chat_format, op10_hyper_language)}
+QUERIES = {f.__name__: f for f in (op1_string_tiling, op2_isolation_rules, op3_circulant_minhash, op4_vector_best_fit, op5_flow_resharding, op6_url_rules, op7_toxic_grammar, op9_chat_format, op10_hyper_language)}
