@@ -14,8 +14,8 @@ from photospark.llm.stage import Stage, maybe_in
 def link(members: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame, str], DataFrame], stage: Stage) -> DataFrame:
     """(node, root) of all nodes with a link; a link is a pair in one bucket that passes ``near`` and ``verify``.
 
-    ``members`` has (key, node, payload struct p). ``near(a, b)`` is a cheap condition on the payloads of two
-    nodes, ``verify(pairs, name)`` turns pairs (u, v) into the confirmed ones.
+    ``members`` has (key, node, p), read twice, p being what ``near`` compares. ``near(a, b)`` is a cheap condition on two such
+    columns, ``verify(pairs, name)`` turns pairs (u, v) into the confirmed ones.
 
     First every node is held against the least node it shares a bucket with, which joins groups of copies by as
     many links as they have nodes. Then, in rounds, each bucket that still spans several components picks
@@ -24,14 +24,14 @@ def link(members: DataFrame, near: Callable[[str, str], Column], verify: Callabl
     bucket was either held against each other or lies in one component: no link is lost, and a group of n copies
     costs about n pairs.
     """
-    keyed = stage.write(members.select("key", "node", "p"), "members")
-    crowded = stage.write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "p")).alias("c")).where("n > 1"), "crowded")
-    held = stage.write(keyed.where(maybe_in(crowded, "key", F.col("key"))).join(crowded.select("key", "c"), "key"), "held")
-    stage.drop("members", "crowded")
-    first = held.where((F.col("node") != F.col("c.node")) & near("c.p", "p")).groupBy(F.col("node").alias("v")).agg(F.min("c.node").alias("u")).select("u", "v")
+    crowded = stage.write(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "crowded")
+    held = stage.write(members.select("key", "node", "p").where(maybe_in(crowded, "key", F.col("key"))).join(crowded, "key"), "held")
+    centres = stage.write(held.groupBy("key").agg(F.min(F.struct("node", "p")).alias("c")), "centres0")
+    pairs = held.join(centres, "key").where((F.col("node") != F.col("c.node")) & near("c.p", "p"))
+    first = pairs.groupBy(F.col("node").alias("v")).agg(F.min("c.node").alias("u")).select("u", "v")
     edges = verify(stage.write(first, "first"), "v0")
     groups = components(edges, stage, "groups0-")
-    waiting, turn = held.drop("c"), 0
+    waiting, turn = held, 0
     while True:
         turn += 1
         now = waiting.join(groups, "node", "left").select("key", "node", "p", F.coalesce("root", "node").alias("root"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photospark.llm import chat, decontaminate, language, near, packing, quality, resharding, toxicity, urls
+from photospark.llm import chat, decontaminate, language, lines, near, packing, quality, resharding, toxicity, urls
 from photospark.llm.stage import Stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,11 @@ def op6_url_rules(spark: SparkSession, path: str) -> DataFrame:
     return urls.filter_urls(table(spark, path, "pages"), labels, lists, Stage(spark, "urls"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, path: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, path, "documents").select("doc_id", "text"), Stage(spark, "lines"))
+    return out.select("doc_id", "n_lines", "dropped", F.length("text").cast("long").alias("n_chars_left"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op9_chat_format(spark: SparkSession, path: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     rows = table(spark, path, "conversations").select("conv_id", "turn", "role", "text")
@@ -103,4 +108,4 @@ def _sql_escape(column: str) -> str:
 
 
 SQL["op9_chat_format"] = SQL["op9_chat_format"].format(esc_text=_sql_escape("text"), esc_role=_sql_escape("role"))
-QUERIES = {f.__name__: f for f in (op1_string_tiling, op2_isolation_rules, op3_circulant_minhash, op4_vector_best_fit, op5_flow_resharding, op6_url_rules, op7_toxic_grammar, op9_chat_format, op10_hyper_language)}
+QUERIES = {f.__name__: f for f in (op1_string_tiling, op2_isolation_rules, op3_circulant_minhash, op4_vector_best_fit, op5_flow_resharding, op6_url_rules, op7_toxic_grammar, op8_fuzzy_lines, op9_chat_format, op10_hyper_language)}
