@@ -94,8 +94,8 @@ def shingles(words: Words, size: int = 5) -> list[np.ndarray]:
         if hi - lo >= size:
             out.append(np.unique(runs[lo:hi - size + 1]))
         elif hi > lo:
-            whole = (words.hash[lo:hi] * _PLACE[:hi - lo]).sum(dtype=np.uint64) + np.uint64(hi - lo) * _PLACE[63]
-            out.append(mix(np.array([whole], np.uint64)))
+            whole = (words.hash[lo:hi] * _PLACE[:hi - lo]).sum(dtype=np.uint64, keepdims=True)
+            out.append(mix(whole + np.array([hi - lo], np.uint64) * _PLACE[63]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

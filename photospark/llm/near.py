@@ -47,9 +47,8 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 def set_name(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set: two sums of its mixed hashes, with its size."""
-    size = np.uint64(len(shingles))
-    one = K.mix(np.array([shingles.sum(dtype=np.uint64) + size], np.uint64))
-    two = K.mix(np.array([K.mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)], np.uint64))
+    one = K.mix(shingles.sum(dtype=np.uint64, keepdims=True) + np.array([len(shingles)], np.uint64))
+    two = K.mix(K.mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64, keepdims=True))
     return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
