@@ -92,8 +92,8 @@ def resolved(v):
 
 
 @check("p1_parse_settings", """
-    SELECT o_orderkey AS id, CASE flaw WHEN 'ok' THEN '' WHEN 'duplicate' THEN 'invalid or duplicate top-level field'
-             WHEN 'unclosed' THEN 'unclosed string or nested table' ELSE 'unsupported scalar in Sharp' END AS error,
+    SELECT o_orderkey AS id, CASE flaw WHEN 'ok' THEN '' WHEN 'duplicate' THEN 'bad or repeated entry'
+             WHEN 'unclosed' THEN 'open string or table' ELSE 'no scalar in Sharp' END AS error,
            CASE WHEN flaw = 'ok' THEN 11 + CAST(has_sat AS INT) + 2 * CAST(has_custom AS INT) + CAST(has_rec AS INT) + CAST(has_process AS INT) ELSE 0 END AS fields,
            CASE WHEN flaw = 'ok' THEN wb ELSE '' END AS wb, CASE WHEN flaw = 'ok' THEN 'a, b} {c' ELSE '' END AS note,
            CASE WHEN flaw = 'ok' THEN CAST(tint AS DOUBLE) ELSE 0 END AS tint
@@ -254,9 +254,10 @@ def _(v):
 
 
 @check("j11_valid_labels", f"""
-    SELECT photo, expert, parameter, value FROM labels_long WHERE photo NOT IN (
+    WITH refused AS MATERIALIZED (
       SELECT photo FROM labels_long JOIN {CONTRACT} USING (parameter) WHERE NOT (value BETWEEN lo AND hi)
-      UNION SELECT photo FROM expert_labels GROUP BY photo, expert HAVING count(*) > 1)""", views="labels_long expert_labels", doubles="value")
+      UNION SELECT photo FROM expert_labels GROUP BY photo, expert HAVING count(*) > 1)
+    SELECT photo, expert, parameter, value FROM labels_long l WHERE NOT EXISTS (SELECT 1 FROM refused r WHERE r.photo = l.photo)""", views="labels_long expert_labels", doubles="value")
 def _(v):
     return L.valid_labels(v.labels_long, L.quarantine(label_errors(v), "photo"), "photo").select("photo", "expert", "parameter", "value")
 
