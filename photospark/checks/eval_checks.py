@@ -16,9 +16,9 @@ from photospark.operators import splits as S
 
 LONG = "labels_long split_of features4"
 TRUTH = TARGETS.strip() + f""",
-    truth AS (SELECT t.photo, s.split, t.parameter, 2 * (mean - lo) / (hi - lo) - 1 AS truth, mean, std FROM targets t JOIN {CONTRACT} USING (parameter) JOIN split_of s USING (photo))"""
+    truth AS MATERIALIZED (SELECT t.photo, s.split, t.parameter, 2 * (mean - lo) / (hi - lo) - 1 AS truth, mean, std FROM targets t JOIN {CONTRACT} USING (parameter) JOIN split_of s USING (photo))"""
 PREDS = TRUTH + """,
-    preds AS (SELECT 'constant' AS model, photo, split, parameter, c AS pred, truth FROM truth JOIN (SELECT parameter, avg(truth) AS c FROM truth WHERE split = 'train' GROUP BY parameter) b USING (parameter) WHERE split <> 'train'
+    preds AS MATERIALIZED (SELECT 'constant' AS model, photo, split, parameter, c AS pred, truth FROM truth JOIN (SELECT parameter, avg(truth) AS c FROM truth WHERE split = 'train' GROUP BY parameter) b USING (parameter) WHERE split <> 'train'
       UNION ALL SELECT 'linear', photo, split, parameter, least(greatest(a + b * x0, -1), 1), truth FROM truth JOIN features4 USING (photo)
         JOIN (SELECT parameter, regr_slope(truth, x0) AS b, regr_intercept(truth, x0) AS a FROM truth JOIN features4 USING (photo) WHERE split = 'train' GROUP BY parameter) f USING (parameter) WHERE split <> 'train')"""
 ERRORS = PREDS + f""",
@@ -397,7 +397,8 @@ def _(v):
     return G.numeric_gates(labelled(v), "linear", RULES)
 
 
-@check("a36_seeds_beating", "WITH " + LABELLED + " SELECT count(*) FILTER (WHERE value > (SELECT max(value) FROM lab WHERE metric = 'mae' AND label = 'linear')) AS better, count(*) FILTER (WHERE value > (SELECT max(value) FROM lab WHERE metric = 'mae' AND label = 'linear')) >= 1 AS passed FROM lab WHERE metric = 'mae' AND label IN ('constant', 'linear')", views=LONG)
+@check("a36_seeds_beating", "WITH " + LABELLED + """, one AS (SELECT max(value) FILTER (WHERE label = 'linear') AS best, list(value) FILTER (WHERE label IN ('constant', 'linear')) AS seeds FROM lab WHERE metric = 'mae')
+    SELECT CAST(len(list_filter(seeds, lambda x: x > best)) AS BIGINT) AS better, len(list_filter(seeds, lambda x: x > best)) >= 1 AS passed FROM one""", views=LONG)
 def _(v):
     return G.seeds_beating(labelled(v), ["constant", "linear"], ["linear"], "mae", need=1)
 

@@ -97,7 +97,13 @@ def numeric_gates(summary: DataFrame, candidate: str, rules: list[tuple]) -> Dat
 
 
 def seeds_beating(summary: DataFrame, seeds: list[str], baselines: list[str], metric: str = "psnr_db", need: int = 2) -> DataFrame:
-    """How many seed runs beat every baseline on a metric, and whether that is enough."""
-    rows = summary.where(F.col("metric") == metric)
-    best = rows.where(F.col("label").isin(*baselines)).agg(F.max("value").alias("b")).scalar()
-    return rows.where(F.col("label").isin(*seeds)).agg(F.count_if(F.col("value") > best).alias("better")).withColumn("passed", F.col("better") >= need)
+    """How many seed runs beat every baseline on a metric, and whether that is enough.
+
+    Seeds and baselines come from one aggregation of the same rows, so a value computed once never beats itself.
+    """
+    label = F.col("label")
+    one = summary.where(F.col("metric") == metric).agg(
+        F.max(F.when(label.isin(*baselines), F.col("value"))).alias("_best"), F.collect_list(F.when(label.isin(*seeds), F.col("value"))).alias("_seeds"))
+    better = F.coalesce(F.size(F.filter("_seeds", lambda v: v > F.col("_best"))), F.lit(0)).cast("long")
+    return one.select(better.alias("better")).withColumn("passed", F.col("better") >= need)
+

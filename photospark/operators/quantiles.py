@@ -11,7 +11,7 @@ from photospark.session import cut_lineage, one_row
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10000) -> DataFrame:
     """Rows (keys.., p, value): linear-interpolated percentiles, equal to a full sort.
 
-    Sketches of up to 64 parts bracket each wanted rank: a quantile of the whole always lies between the smallest
+    Sketches of 64 parts bracket each wanted rank: a quantile of the whole always lies between the smallest
     and the largest of the parts' quantiles, so no task has to merge every sketch. Values below and above
     a bracket are only counted (keeping the nearest one), values inside it are grouped with counts, so what is
     finally ordered per key is a small share of the group. A rank outside its bracket fails the job.
@@ -20,7 +20,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     lows = [max(0.0, p - margin) for p in probs]
     highs = [min(1.0, p + margin) for p in probs]
-    parts = src.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy(*keys, "_part").agg(
+    # rows are dealt to the parts by hash of their place, so each part is a sample of the whole in whatever order it comes
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(64))
+    parts = src.withColumn("_part", spread).groupBy(*keys, "_part").agg(
         F.count("_v").alias("_n"), F.percentile_approx("_v", lows + highs, accuracy).alias("_q"))
     sketch = parts.groupBy(*keys).agg(
         F.sum("_n").alias("_n"),

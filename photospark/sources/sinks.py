@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -10,8 +12,26 @@ from photospark.operators.lineage import fingerprint
 
 
 def write_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """All-or-nothing replacement through the commit protocol (a _SUCCESS marker closes it)."""
-    df.write.mode("overwrite").format(fmt).save(path)
+    """All-or-nothing replacement: written beside the old data, which is only moved away once the new is complete.
+
+    A failed job leaves the old data in place. Two renames make the switch; if it breaks off between them, the old data
+    lies complete in the sibling ``<path>.old-*``.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    target, fresh, old = place(path), place(f"{path.rstrip('/')}.new-{mark}"), place(f"{path.rstrip('/')}.old-{mark}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.mode("errorifexists").format(fmt).save(fresh.toString())
+    except Exception:
+        files.delete(fresh, True)
+        raise
+    if files.exists(target) and not files.rename(target, old):
+        raise OSError(f"cannot move the old data of {path}")
+    if not files.rename(fresh, target):
+        files.rename(old, target)
+        raise OSError(f"cannot put the new data at {path}")
+    files.delete(old, True)
 
 
 def write_new(df: DataFrame, path: str, fmt: str = "parquet") -> None:

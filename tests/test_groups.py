@@ -181,3 +181,12 @@ def test_global_rank_is_dense_and_ordered(spark):
     rows = Q.global_rank(df, [F.desc("v"), F.col("id")]).collect()
     want = sorted(((r["v"], r["id"]) for r in rows), key=lambda t: (-t[0], t[1]))
     assert [(r["v"], r["id"]) for r in sorted(rows, key=lambda r: r["rank"])] == want and {r["rank"] for r in rows} == set(range(1, 3001))
+
+
+def test_percentile_parts_follow_no_order(spark):
+    """Ascending input: each part is a sample of the whole, so the brackets of the parts stay narrow."""
+    df = spark.range(0, 400_000, 1, 8).select(F.col("id").cast("double").alias("v"))
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(64))
+    parts = df.withColumn("part", spread).groupBy("part").agg(F.percentile_approx("v", F.lit(0.5), F.lit(10_000)).alias("m")).agg(F.max("m") - F.min("m")).first()[0]
+    assert parts < 0.1 * 400_000
+    assert Q.exact_percentiles(df, [], "v", [0.5]).first()["value"] == 199_999.5

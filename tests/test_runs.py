@@ -172,3 +172,14 @@ def test_bootstrap_of_equal_gains_is_exact(spark):
     e = spark.createDataFrame([(f"g{i % 7}", 1.0 + i % 3, 0.9 * (1.0 + i % 3)) for i in range(40)], "group_id string, control double, candidate double")
     row = G.paired_bootstrap(e, 50, 3).first()
     assert abs(row["low"] - 0.1) < 1e-9 and abs(row["high"] - 0.1) < 1e-9
+
+
+def test_a_failed_replacement_leaves_the_old_data(spark, tmp_path):
+    path = str(tmp_path / "table")
+    K.write_atomic(spark.range(5), path)
+    broken = spark.range(9).select(F.when(F.col("id") == 7, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        K.write_atomic(broken, path)
+    assert spark.read.parquet(path).count() == 5
+    K.write_atomic(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["table"]
