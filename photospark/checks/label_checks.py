@@ -1,5 +1,7 @@
 """Label extraction, validation and catalog joins against their SQL twins."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from photospark.checks.registry import check
@@ -7,6 +9,7 @@ from photospark.contract import FINE_TUNING_LIMITS, NAMES, PARAMETERS
 from photospark.operators import labels as L
 from photospark.sources import catalog as C
 from photospark.functions import text as X
+from photospark.session import ensure_checkpoint_dir
 
 CONTRACT = "(VALUES " + ", ".join(f"({i}, '{n}', CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE))" for i, (n, lo, hi) in enumerate(PARAMETERS)) + ") AS c(ord, parameter, lo, hi)"
 # per-photo consensus of experts A-C, complete and inside the contract
@@ -21,6 +24,12 @@ EXPERTS = ["A", "B", "C"]
 CATALOG = ["collection", "collection_image", "image", "file", "develop", "exif", "camera", "keyword", "keyword_image"]
 
 
+def scratch(v):
+    """A new folder beside the checkpoints."""
+    ensure_checkpoint_dir(v.spark)
+    return f"{v.spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def cat(v):
     return {n: getattr(v, "cat_" + n) for n in CATALOG}
 
@@ -32,8 +41,11 @@ def targets(v):
 @check("s1_scan_catalog", "SELECT name, count(*) AS n FROM cat_collection JOIN cat_collection_image ON collection = id GROUP BY name",
        views="cat_collection cat_collection_image")
 def _(v):
-    tables = cat(v)
-    joined = tables["collection"].join(tables["collection_image"].withColumnRenamed("collection", "id"), "id")
+    path, tables = scratch(v), cat(v)
+    for name in ("collection", "collection_image"):
+        tables[name].write.parquet(f"{path}/{name}")
+    read = C.scan_catalog(v.spark, path, ["collection", "collection_image"])
+    joined = read["collection"].join(read["collection_image"].withColumnRenamed("collection", "id"), "id")
     return joined.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 

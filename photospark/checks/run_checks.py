@@ -117,13 +117,6 @@ def _(v):
     return warm(v).fillna(-9.0, ["warmth"])
 
 
-def renamed(sql, tag):
-    """The same CTE chain under other names."""
-    import re
-
-    return re.sub(r"\b(w[1-6]|wb|n[123]|q[12]|neutral)\b(?=\s+(?:AS|USING|JOIN|LEFT|GROUP|WHERE|\))|\)|$|,)", lambda m: m.group(1) + tag, sql)
-
-
 @check("x5_wb_decision")
 def _(v):
     full, tint = A.apply_wb(v.pixels, coefs(v)), A.apply_wb(v.pixels, coefs(v), tint_only=True)
@@ -260,7 +253,13 @@ def _(v):
 
 @check("s2_scan_photos", "SELECT lower('Segment_' || c_mktsegment || '.DNG') AS photo_id FROM customer GROUP BY c_mktsegment")
 def _(v):
-    return _photo_folder(v).select("photo_id")
+    path = scratch(v)
+    v.customer.groupBy("c_mktsegment").agg(F.concat_ws(",", F.sort_array(F.collect_set("c_nationkey"))).alias("value")).write.partitionBy("c_mktsegment").text(path)
+    place = v.spark._jvm.org.apache.hadoop.fs.Path
+    folder = place(path).getFileSystem(v.spark._jsc.hadoopConfiguration())
+    for row in FS.list_files(v.spark, path, "part-*").select("path", F.regexp_extract("path", "c_mktsegment=([^/]+)", 1).alias("segment")).collect():
+        folder.rename(place(row["path"]), place(f"{path}/Segment_{row['segment']}.DNG"))
+    return FS.require_inputs(FS.scan_photos(v.spark, path)).select("photo_id")
 
 
 def _photo_folder(v):
@@ -316,7 +315,7 @@ def _(v):
 def _(v):
     path = scratch(v)
     v.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_nationkey").repartition(25, "n_nationkey").write.partitionBy("n_nationkey").json(path)
-    return v.spark.read.schema("id int, name string").option("recursiveFileLookup", "true").json(path)
+    return FS.read_records(v.spark, path, "id int, name string").select("id", "name")
 
 
 @check("s10_read_ledger", "SELECT s_name AS run_id, CASE WHEN s_acctbal < 0 THEN -1 ELSE s_acctbal END AS dual_p2 FROM supplier", doubles="dual_p2")

@@ -51,7 +51,8 @@ def _label_order(scores: DataFrame) -> Column:
     """Vocabulary order for named labels, plain order otherwise."""
     if scores.schema["label"].dataType.simpleString() != "string":
         return F.col("label")
-    return F.array_position(F.array(*[F.lit(n) for n in (*SUBJECTS, *LIGHTING)]), F.col("label"))
+    place = F.array_position(F.array(*[F.lit(n) for n in (*SUBJECTS, *LIGHTING)]), F.col("label"))
+    return F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("label outside the vocabulary: "), F.col("label"))).cast("int"))
 
 
 def top_two(scores: DataFrame, key: str = "photo") -> DataFrame:
