@@ -10,45 +10,58 @@ from pyspark.sql import functions as F
 from photospark.llm.components import components
 from photospark.llm.stage import Stage, maybe_in
 
+CENTRES, FIRST = 512, 4
 
-def link(members: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame, str], DataFrame], stage: Stage) -> DataFrame:
+
+def link(members: DataFrame, near: Callable[[str, str], Column], apart: Callable[[str, str], Column], verify: Callable[[DataFrame, str], DataFrame], stage: Stage,
+         detail: DataFrame | None = None, alike: Callable[[str, str], Column] = lambda a, b: F.lit(True)) -> DataFrame:
     """(node, root) of all nodes with a link; a link is a pair in one bucket that passes ``near`` and ``verify``.
 
     ``members`` has (key, node, p), read twice, p being what ``near`` compares. ``near(a, b)`` is a cheap condition on two such
-    columns, ``verify(pairs, name)`` turns pairs (u, v) into the confirmed ones.
-
-    First every node is held against the least node it shares a bucket with, which joins groups of copies by as
-    many links as they have nodes. Then, in rounds, each bucket that still spans several components picks
-    centres by hash (1, 8, 64, ..: ever more) and holds them against its members of other components; a centre
-    is done with its bucket and leaves it. This ends when no bucket spans two components, so every pair of a
-    bucket was either held against each other or lies in one component: no link is lost, and a group of n copies
-    costs about n pairs.
+    columns, ``apart(a, b)`` their distance, ``verify(pairs, name)`` turns pairs (u, v) into the confirmed ones.
+    ``detail`` (node, bands, q) has all keys of a node and what ``alike(a, b)``, a finer condition, compares; with it a
+    pair is formed only in the first bucket that its nodes share.
+
+    First every node is held against the FIRST closest (by ``apart``) among the least and the largest node of its
+    buckets, which joins groups of copies, also chains of them, by a few links per node. Then, of each bucket that
+    still spans several components, the members outside its largest component (any pair across components has one)
+    are centres, held against all members of other components. A bucket with more than CENTRES of them takes as many
+    by hash, these leave it, and it comes again with ever more. So every pair of a bucket is held against each other
+    or lies in one component: no link is lost, and a group of n copies costs about n pairs, not n * n.
     """
     crowded = stage.write(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "crowded")
     held = stage.write(members.select("key", "node", "p").where(maybe_in(crowded, "key", F.col("key"))).join(crowded, "key"), "held")
-    centres = stage.write(held.groupBy("key").agg(F.min(F.struct("node", "p")).alias("c")), "centres0")
-    pairs = held.join(centres, "key").where((F.col("node") != F.col("c.node")) & near("c.p", "p"))
-    first = pairs.groupBy(F.col("node").alias("v")).agg(F.min("c.node").alias("u")).select("u", "v")
+    ends = stage.write(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "p")).alias("a"), F.max(F.struct("node", "p")).alias("z")), "ends")
+    beside = held.join(ends, "key").select("node", "p", F.explode(F.array("a", "z")).alias("c")).where((F.col("node") != F.col("c.node")) & near("c.p", "p"))
+    # a node has at most two entries per bucket it is in
+    closest = beside.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct(apart("c.p", "p").alias("d"), F.col("c.node").alias("u")))), 1, FIRST).alias("us"))
+    first = closest.select("node", F.explode("us.u").alias("u")).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
     edges = verify(stage.write(first, "first"), "v0")
+    # a bucket of two whose pair isn't near holds no link
+    waiting, turn = stage.write(held.join(ends.where((F.col("n") > 2) | near("a.p", "z.p")).select("key"), "key"), "waiting0"), 0
+    stage.drop("crowded", "ends", "held")
     groups = components(edges, stage, "groups0-")
-    waiting, turn = held, 0
     while True:
         turn += 1
-        now = waiting.join(groups, "node", "left").select("key", "node", "p", F.coalesce("root", "node").alias("root"))
-        now = stage.write(now, f"now{turn}")
-        mixed = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
-        mixed = stage.write(mixed, f"mixed{turn}")
-        if mixed.isEmpty():
+        now = stage.write(waiting.join(groups, "node", "left").select("key", "node", "p", F.coalesce("root", "node").alias("root")), f"now{turn}")
+        sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+        mixed = stage.write(sizes.where("n > top.n").select("key", F.col("top.root").alias("major"), (F.col("n") - F.col("top.n")).alias("minor")), f"mixed{turn}")
+        left = mixed.agg(F.count(F.lit(1)).alias("n"), F.max("minor").alias("most")).first()
+        if not left["n"]:
             return groups
-        live = stage.write(now.join(mixed, "key"), f"live{turn}")
-        slot = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(min(8 ** (turn - 1), 1 << 30)))
-        centres = live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "p", "root")).alias("c")).select(
-            "key", F.col("c.node").alias("u"), F.col("c.p").alias("cp"), F.col("c.root").alias("cr"))
-        centres = stage.write(centres, f"centres{turn}")
-        pairs = live.join(centres, "key").where((F.col("root") != F.col("cr")) & near("cp", "p")).select(
+        live = now.join(mixed, "key")
+        live = stage.write(live.join(detail, "node") if detail is not None else live.withColumns({"bands": F.array("key"), "q": F.lit(0)}), f"live{turn}")
+        slot = F.when(F.col("minor") <= CENTRES, F.col("node")).otherwise(F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(CENTRES * 64 ** (turn - 1))))
+        centres = stage.write(live.where("root <> major").groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("node", "p", "root", "bands", "q"), "node").alias("c")).select(
+            "key", F.col("c.node").alias("u"), F.col("c.p").alias("cp"), F.col("c.root").alias("cr"), F.col("c.bands").alias("cb"), F.col("c.q").alias("cq")), f"centres{turn}")
+        shared = F.get("bands", F.array_position(F.zip_with("bands", "cb", lambda a, b: a == b), True).cast("int") - 1)
+        pairs = live.join(centres, "key").where((F.col("root") != F.col("cr")) & near("cp", "p") & alike("cq", "q") & (shared == F.col("key"))).select(
             F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
         found = verify(stage.write(pairs, f"pairs{turn}"), f"v{turn}")
         edges = stage.write(edges.unionByName(found), f"edges{turn}")
         groups = components(edges, stage, f"groups{turn}-")
-        waiting = stage.write(live.select("key", "node", "p").join(centres.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), f"waiting{turn}")
-        stage.drop(f"now{turn}", f"mixed{turn}", f"live{turn}", f"pairs{turn}", *([f"waiting{turn - 1}"] if turn > 1 else ["held"]))
+        if left["most"] <= CENTRES:
+            return groups
+        over = live.where(F.col("minor") > CENTRES).select("key", "node", "p")
+        waiting = stage.write(over.join(centres.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), f"waiting{turn}")
+        stage.drop(f"now{turn}", f"mixed{turn}", f"live{turn}", f"pairs{turn}", f"waiting{turn - 1}")
