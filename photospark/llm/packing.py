@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,47 +17,41 @@ from pyspark.sql import functions as F
 from photospark.llm.stage import Stage
 
 END, SIZE = 2, 1024
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A run of non-space with at most one space before it, or the space that no such run takes. The byte-level
-#: pre-tokenizer never merges across these units, so ids of units joined are the ids of the text.
-UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-KEPT_UNITS, LONGEST_UNIT = 300_000, 48
+#: A run this long goes to the slower library, whose merging doesn't depend on the length of a run.
+LONG_RUN = 20_000
+_RUN = re.compile(r"\S{%d}|\s{%d}" % (LONG_RUN, LONG_RUN))
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit words; ids of frequent units are kept in a table of bounded size."""
+    """Token ids of whole texts as little-endian 32-bit words.
+
+    ``tokenizer`` is (tokenizers file, the same vocabulary as ranks, pattern of its words). The ranks give the same
+    ids at a third of the time; texts with a special token's string or a very long run use the tokenizers file itself.
+    """
+
+    def __init__(self, tokenizer: tuple[str, str, str]):
+        import tiktoken
 
-    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model, self.known = Tokenizer.from_file(path), {}
-        self.special = tuple(x.content for x in self.model.get_added_tokens_decoder().values())
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text (null: none), without special tokens added."""
-        split, new = [], {}
-        for text in texts:
-            whole = any(s in text for s in self.special) if text else False
-            units = [text] if whole else UNIT.findall(text or "")
-            split.append(units)
-            for u in units:
-                if u not in self.known:
-                    new[u] = None
-        if new:
-            units = list(new)
-            for u, e in zip(units, self.model.encode_batch_fast(units, add_special_tokens=False)):
-                new[u] = np.array(e.ids, "<u4").tobytes()
-                if len(self.known) < KEPT_UNITS and len(u) <= LONGEST_UNIT:
-                    self.known[u] = new[u]
-        out = []
-        for units in split:
-            get, extra = self.known.get, new.get
-            out.append(b"".join([x if (x := get(u)) is not None else extra(u) for u in units]))
-        return out
-
-
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
+        self.path, ranks, pattern = tokenizer
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.fast, self.slow = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}), None
+        self.special = tuple(x["content"] for x in json.loads(Path(self.path).read_text())["added_tokens"])
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text (null: none), without special tokens added."""
+        text = text or ""
+        if any(s in text for s in self.special) or len(text) >= LONG_RUN and _RUN.search(text):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+
+
+def pieces(docs: DataFrame, tokenizer: tuple[str, str, str], size: int = SIZE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): ids of a text plus END, cut into ``size``; the first piece takes the rest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -64,8 +61,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 index, piece, start, length, crc = [], [], [], [], []
-                for row, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
-                    ids += int(END).to_bytes(4, "little")
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    ids = encoder.encode(text) + END.to_bytes(4, "little")
                     n = len(ids) // 4
                     at, k = 0, 0
                     step = n % size or size
@@ -135,7 +132,7 @@ def best_fit(counts: dict[int, int], size: int = SIZE, documents: int = SIZE, co
     return runs
 
 
-def pack(docs: DataFrame, tokenizer: str, stage: Stage, **limits) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: tuple[str, str, str], stage: Stage, **limits) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Tokens stay where they are made: pieces are small rows, counted by length; the plan comes from the counts (at
