@@ -32,7 +32,7 @@ def op6_url_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_fuzzy_lines(spark: SparkSession, path: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, path, "documents").select("doc_id", "text"), Stage(spark, "lines"))
+    out = lines.dedup_lines(table(spark, path, "documents").select("doc_id", "text"), Stage(spark, "lines"), whole=True)
     return out.select("doc_id", "n_lines", "dropped", F.length("text").cast("long").alias("n_chars_left"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 

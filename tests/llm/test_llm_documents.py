@@ -307,3 +307,31 @@ def test_binding_and_bundling():
     codes_ = [0, 97, 98, 0]
     total = sum(language.gram_vectors(np.array([codes_[i:i + 3]], np.uint32))[0].astype(float) for i in range(2))
     assert known[0] and np.allclose(v[0], total / np.linalg.norm(total), atol=1e-5)
+
+
+def edited(rng, text, n):
+    for _ in range(n):
+        k = rng.randrange(1, len(text) - 1)
+        text = text[:k] + rng.choice(["", "q", "q" + text[k]]) + text[k + 1:]
+    return text
+
+
+def near_copies(rng, sizes, n):
+    """Texts 2k and 2k + 1 are a line and its copy with edits; the k whose two lines are similar."""
+    texts, alike = [], []
+    for k in range(n):
+        line = " ".join("".join(rng.choices("abcdefghijklm", k=rng.randrange(3, 9))) for _ in range(rng.choice(sizes)))
+        other = edited(rng, line, max(1, len(line) // rng.choice([12, 25, 50])))
+        a, b = lines.plain_lines(line)[0], lines.plain_lines(other)[0]
+        if a != b and lines.similar(a, b):
+            alike.append(k)
+        texts += [(2 * k, line), (2 * k + 1, other)]
+    return texts, alike
+
+
+def test_whole_line_search(spark):
+    texts, alike = near_copies(random.Random(17), [8, 10, 20, 40], 300)
+    out = {r["doc_id"]: list(r["dropped"]) for r in lines.dedup_lines(table(spark, texts), Stage(spark, "t"), whole=True).collect()}
+    lost = [k for k in alike if out[2 * k + 1] != [0]]
+    assert len(alike) > 200 and len(lost) <= len(alike) // 50 and all(len(texts[2 * k][1]) >= lines.SHORT for k in lost)
+    assert all(out[2 * k] == [] for k in range(300))
