@@ -335,3 +335,11 @@ def test_whole_line_search(spark):
     lost = [k for k in alike if out[2 * k + 1] != [0]]
     assert len(alike) > 200 and len(lost) <= len(alike) // 50 and all(len(texts[2 * k][1]) >= lines.SHORT for k in lost)
     assert all(out[2 * k] == [] for k in range(300))
+
+
+def test_whole_line_search_takes_short_lines(spark):
+    texts, alike = near_copies(random.Random(18), [2, 3, 4], 200)
+    odd = [(1000, "and\nx y\n漢字かなまじり文"), (1001, "AND!\nx  y\n\n漢字かなまじり文"), (1002, "and"), (1003, ""), (1004, None), (1005, "...")]
+    out = {r["doc_id"]: list(r["dropped"]) for r in lines.dedup_lines(table(spark, texts + odd), Stage(spark, "t"), whole=True).collect()}
+    assert [out[d] for d, _ in odd] == [[], [0, 1, 3], [0], [], [], []]
+    assert len(alike) > 100 and all(out[2 * k + 1] == [0] for k in alike)
