@@ -1,4 +1,4 @@
-"""URL filter: listed host/path rules, then association rules mined with FP-growth and matched by an inverted index."""
+"""URL filter: listed host/path rules, then association rules mined with FP-growth and matched through their anchors."""
 
 from __future__ import annotations
 
@@ -51,46 +51,40 @@ def listed(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tup
     return rule, verdict
 
 
-def mine_rules(urls: DataFrame, stage: Stage, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.6, min_lift: float = 2.0, max_items: int = 16) -> DataFrame:
+def mine_rules(urls: DataFrame, stage: Stage, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.6, min_lift: float = 2.0) -> DataFrame:
     """(items, confidence, support, anchor): token combinations that imply ``blocked``, from (url, blocked) rows.
 
-    FP-growth runs over all labelled rows, on the ``max_items`` frequent tokens with the highest share of blocked
-    rows (the documented size of the model: at most 2**max_items combinations, so the index is bounded). Rules
-    below the support or confidence are pruned; the anchor is a rule's rarest token.
+    FP-growth runs over all labelled rows and all tokens that are in enough blocked rows; no other token can be in a
+    rule that reaches the support. Rules below the support, confidence or lift are pruned; the anchor is a rule's
+    rarest token. Their number grows with the combinations of frequent tokens inside one url.
     """
     baskets = stage.write(urls.where("url IS NOT NULL AND blocked IS NOT NULL").select(tokens_of(F.col("url")).alias("items"), "blocked"), "baskets")
     total = baskets.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("int")).alias("bad")).first()
     n, bad = total["n"], total["bad"] or 0
     support = max(min_support, min_count / max(n, 1))
-    counts = baskets.select(F.explode("items").alias("t"), "blocked").groupBy("t").agg(
-        F.count(F.lit(1)).alias("c"), F.sum(F.col("blocked").cast("int")).alias("b")).where(F.col("b") >= support * n)
-    top = counts.orderBy(F.desc(F.col("b") / F.col("c")), F.desc("b"), "t").limit(max_items).collect()
+    counts = stage.write(baskets.select(F.explode("items").alias("t"), "blocked").groupBy("t").agg(
+        F.count(F.lit(1)).alias("c"), F.sum(F.col("blocked").cast("int")).alias("b")).where(F.col("b") >= support * n), "tokens")
+    # at most the tokens of a url divided by the support
+    frequent = [r["t"] for r in counts.select("t").collect()]
     empty = "items array<string>, confidence double, support double, anchor string"
-    if not top or not bad:
+    if not frequent or not bad:
         return urls.sparkSession.createDataFrame([], empty)
-    vocabulary = F.array(*[F.lit(r["t"]) for r in top])
-    marked = baskets.select(F.concat(F.array_intersect("items", vocabulary), F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    marked = baskets.select(F.concat(F.array_intersect("items", F.lit(frequent)), F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(marked)
-    rarity = F.create_map(*[F.lit(x) for r in top for x in (r["t"], r["c"])])
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.col("lift") >= min_lift))
-    anchor = F.array_min(F.transform("antecedent", lambda t: F.struct(F.element_at(rarity, t).alias("c"), t.alias("t"))))["t"]
-    return rules.select(F.col("antecedent").alias("items"), "confidence", "support", anchor.alias("anchor"))
+    parts = rules.select(F.col("antecedent").alias("items"), "confidence", "support", F.explode("antecedent").alias("t")).join(counts, "t")
+    return parts.groupBy("items", "confidence", "support").agg(F.min(F.struct("c", "t"))["t"].alias("anchor"))
 
 
-def rule_index(rules: DataFrame) -> Column:
-    """The inverted index anchor -> rules as one row of bounded size (see ``mine_rules``)."""
-    listing = rules.groupBy("anchor").agg(F.collect_list(F.struct("confidence", "items")).alias("rs"))
-    return listing.agg(F.map_from_entries(F.collect_list(F.struct("anchor", "rs"))).alias("index")).scalar()
+def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, best): the strongest rule (confidence, items) whose tokens are all in a url; only urls that have one.
 
-
-def match_rules(tokens: Column, index: Column) -> Column:
-    """The strongest rule (confidence, items) whose tokens are all among ``tokens``; null without one.
-
-    Only the rules that the index has under a token of the row are tried.
+    A rule is joined to the urls that have its anchor.
     """
-    none = F.array().cast("array<struct<confidence:double,items:array<string>>>")
-    near = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(index, t), none)))
-    return F.array_max(F.filter(near, lambda r: F.forall(r["items"], lambda i: F.array_contains(tokens, i))))
+    tokens = pages.select("url", tokens_of(F.col("url")).alias("tokens"))
+    near = tokens.select("url", "tokens", F.explode("tokens").alias("anchor")).join(rules, "anchor")
+    fits = near.where(F.forall("items", lambda i: F.array_contains("tokens", i)))
+    return fits.groupBy("url").agg(F.max(F.struct("confidence", "items")).alias("best"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, lists: list[tuple[str, str, str]], stage: Stage, **limits) -> DataFrame:
@@ -102,9 +96,10 @@ def filter_urls(pages: DataFrame, labels: DataFrame, lists: list[tuple[str, str,
     """
     taught = pages.select("page_id", "url").join(labels.select("page_id", "blocked"), "page_id")
     rules = stage.write(mine_rules(taught, stage, **limits), "rules")
-    base = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens_of(F.col("url")).alias("tokens")).withColumn("index", rule_index(rules))
+    matches = stage.write(match_rules(pages, rules), "matches")
+    base = pages.select("page_id", "url").join(matches, "url", "left").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "best")
     rule, verdict = listed(F.col("host"), F.col("path"), lists)
-    best = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_list"), match_rules(F.col("tokens"), F.col("index")).alias("best"))
+    best = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_list"), "best")
     mined = F.when(F.col("best").isNull(), "allow").otherwise("block")
     return best.select(
         "page_id", "host", "path", "rule", F.coalesce("by_list", mined).alias("verdict"),

@@ -83,6 +83,17 @@ def test_mined_rules_equal_counting(spark):
         assert r["verdict"] == ("block" if hit else "allow") and (not hit or round(r["confidence"], 9) == max(want[c] for c in hit))
 
 
+def test_tokens_that_rank_low_alone_make_rules(spark):
+    noisy = [(f"http://a.net/noise{chr(97 + k)}", i < 6) for k in range(20) for i in range(10)]
+    pair = [("http://a.net/ads/win", True)] * 30 + [("http://a.net/ads", False)] * 100 + [("http://a.net/win", False)] * 100 + [("http://a.net/ok", False)] * 200
+    df = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(noisy + pair)], "page_id long, url string, blocked boolean")
+    limits = {"min_support": 0.005, "min_count": 5, "min_confidence": 0.7, "min_lift": 2.0}
+    mined = {tuple(sorted(r["items"])): r["anchor"] for r in urls.mine_rules(df, Stage(spark, "t"), **limits).collect()}
+    assert ("p:ads", "p:win") in mined and mined["p:ads", "p:win"] == "p:ads"
+    out = urls.filter_urls(df.select("page_id", "url"), df.select("page_id", "blocked"), [], Stage(spark, "t"), **limits)
+    assert {r["page_id"] for r in out.where("verdict = 'block'").collect()} == set(range(200, 230)) and out.count() == df.count()
+
+
 def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     docs = spark.read.parquet(f"{PATH}/documents.parquet")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{PATH}/benchmark.parquet").collect()]
