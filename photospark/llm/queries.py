@@ -21,7 +21,7 @@ def op4_vector_best_fit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_flow_resharding(spark: SparkSession, path: str) -> DataFrame:
-    out = resharding.reshard(table(spark, path, "documents"), F.col("source"), Stage(spark, "shards"), 24)
+    out = resharding.reshard_files(table(spark, path, "documents"), F.col("source"), Stage(spark, "shards"), 24)
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 

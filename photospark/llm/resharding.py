@@ -91,8 +91,8 @@ def spread_rank(df: DataFrame, group: str, order: list[str], name: str, stage: S
         name, (F.col("_before") + F.col("_row")).cast("long")).drop("_part", "_row", "_before")
 
 
-def reshard(docs: DataFrame, old: Column, stage: Stage, shards: int = 24) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, old_shard, shard, slot.
+def reshard(docs: DataFrame, old: Column, stage: Stage, shards: int = 24, key: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, old_shard, shard, slot, and ``key``, a column that tells rows apart, if named.
 
     ``old`` names a document's old shard (any value, null is one too); the names in order are old shards 0, 1, ...,
     and their number is that of a layout, so it goes to the driver (some thousands are fine). The new counts are at
@@ -103,13 +103,14 @@ def reshard(docs: DataFrame, old: Column, stage: Stage, shards: int = 24) -> Dat
     starts empty; other columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
-    base = stage.write(docs.select("doc_id", old.cast("string").alias("_old"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long").alias("size"),
+    own = [key] if key else []
+    base = stage.write(docs.select("doc_id", *own, old.cast("string").alias("_old"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long").alias("size"),
                                    F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")), "base")
     names = [r["_old"] for r in base.select("_old").distinct().collect()]
     names = sorted(names, key=lambda x: (x is None, x or ""))
     table = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "_name string, old_shard int")
-    known = base.join(F.broadcast(table), F.col("_old").eqNullSafe(F.col("_name"))).select("doc_id", "size", "text_crc32", "old_shard")
-    ranked = stage.write(spread_rank(known, "old_shard", ["size", "doc_id", "text_crc32"], "rank", stage), "ranked")
+    known = base.join(F.broadcast(table), F.col("_old").eqNullSafe(F.col("_name"))).select("doc_id", "size", "text_crc32", "old_shard", *own)
+    ranked = stage.write(spread_rank(known, "old_shard", ["size", "doc_id", "text_crc32", *own], "rank", stage), "ranked")
     rows = [0] * len(names)
     for r in ranked.groupBy("old_shard").agg(F.count(F.lit(1)).alias("n")).collect():
         rows[r["old_shard"]] = r["n"]
@@ -127,17 +128,34 @@ def reshard(docs: DataFrame, old: Column, stage: Stage, shards: int = 24) -> Dat
     plan = spark.createDataFrame(runs, "_old long, _lo long, _hi long, shard int")
     placed = ranked.join(F.broadcast(plan), (F.col("old_shard") == F.col("_old")) & (F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi"))).drop("_old", "_lo", "_hi", "rank")
     placed = placed.withColumn("_spot", F.pmod(F.xxhash64("doc_id"), F.lit(1024)))
-    return spread_rank(stage.write(placed, "placed"), "shard", ["_spot", "doc_id", "size", "text_crc32"], "slot", stage).drop("_spot")
+    return spread_rank(stage.write(placed, "placed"), "shard", ["_spot", "doc_id", "size", "text_crc32", *own], "slot", stage).drop("_spot")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, folder: str) -> list[int]:
+def rewrite(docs: DataFrame, placed: DataFrame, folder: str, key: str = "doc_id") -> list[int]:
     """Write the affected shards (those that rows leave or reach) as Parquet under ``folder``/shard=N; returns their numbers.
 
-    ``docs`` needs unique ids; a shard that nothing leaves or reaches keeps its old files.
+    ``key`` tells the rows of ``docs`` apart: no nulls, no repeats. A shard that nothing leaves or reaches keeps its old files.
     """
     moved = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     touched = sorted(r["shard"] for r in moved.join(placed.select("shard").distinct(), "shard").collect())
-    spots = placed.where(F.col("shard").isin(touched)).select("doc_id", "shard", "slot")
-    out = docs.join(spots, "doc_id")
-    out.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    spots = placed.where(F.col("shard").isin(touched)).select(key, "old_shard", "shard", "slot")
+    out = docs.join(spots, key)
+    out.repartition("shard", F.pmod(F.xxhash64(key), F.lit(64))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
     return touched
+
+
+def reshard_files(docs: DataFrame, old: Column, stage: Stage, shards: int = 24) -> DataFrame:
+    """``reshard``, and the affected shards written: size, text_crc32, shard and slot of their rows are read from the files.
+
+    Rows get a number first, so null and repeated ids are written once each. Rows of other shards are as placed.
+    """
+    rows = stage.write(docs.select("doc_id", "text", old.cast("string").alias("source"), F.monotonically_increasing_id().alias("row")), "rows")
+    placed = stage.write(reshard(rows, F.col("source"), stage, shards, "row"), "placement")
+    folder = f"{stage.root}/files"
+    touched = rewrite(rows, placed, folder, "row")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    files = docs.sparkSession.read.schema(f"doc_id {kind}, text string, old_shard int, slot long, shard int").parquet(folder)
+    text = F.coalesce("text", F.lit(""))
+    again = files.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "old_shard", "shard", "slot")
+    stayed = placed.where(~F.col("shard").isin(touched)).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
+    return again.unionByName(stayed)

@@ -216,6 +216,22 @@ def test_resharding(spark, tmp_path):
     assert back.count() == placed.where(F.col("shard").isin(touched)).count() and back.columns[:3] == ["doc_id", "text", "source"]
 
 
+def test_resharded_files_keep_every_row(spark):
+    rng = random.Random(19)
+    rows = [(i, "é" * rng.randrange(1, 40), rng.choice("aaab")) for i in range(200)] + [(7, "twice", None)] * 2 + [(7, "other", "b"), (None, "x", "b"), (None, "x", "b"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stage = Stage(spark, "t")
+    out = resharding.reshard_files(docs, F.col("source"), stage, 4)
+    files = spark.read.parquet(f"{stage.root}/files")
+    key = lambda i, t: (i is None, i or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    got = out.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got) == sorted(key(i, t) for i, t, _ in rows)
+    touched = {r["shard"] for r in files.select("shard").distinct().collect()}
+    assert touched and files.count() == sum(r["shard"] in touched for r in got) and files.select("row").distinct().count() == files.count()
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got))) for s in range(4))
+    assert resharding.reshard_files(docs.where("doc_id < 0"), F.col("source"), Stage(spark, "t"), 4).count() == 0
+
+
 def test_clause_grammar():
     g = toxicity.Grammar(["moron"], ["lowei"])
     assert g.patterns("What a MORON. Fine day") == {"insult": 1}
