@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photospark.llm import chat, decontaminate, language, lines, near, packing, quality, resharding, toxicity, urls
+from photospark.llm import centroids, chat, decontaminate, language, lines, near, packing, quality, resampling, resharding, tournament, toxicity, urls
 from photospark.llm.stage import Stage
 
 TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -74,6 +74,19 @@ def op7_toxic_grammar(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("held_out", remainder("doc_id", 5) == 0)
 
 
+def op11_hilbert_centroids(spark: SparkSession, path: str) -> DataFrame:
+    return centroids.cluster(table(spark, path, "embeddings"), Stage(spark, "centroids"))
+
+
+def op12_tournament_packing(spark: SparkSession, path: str) -> DataFrame:
+    return tournament.digest(tournament.pack(table(spark, path, "documents"), TOKENIZER, Stage(spark, "tournament")))
+
+
+def op13_importance_resampling(spark: SparkSession, path: str) -> DataFrame:
+    out = resampling.resample(table(spark, path, "documents"), table(spark, path, "benchmark"), Stage(spark, "resampling"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 def remainder(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)), F.lit(0))
@@ -108,4 +121,34 @@ def _sql_escape(column: str) -> str:
 
 
 SQL["op9_chat_format"] = SQL["op9_chat_format"].format(esc_text=_sql_escape("text"), esc_role=_sql_escape("role"))
-QUERIES = {f.__name__: f for f in (op1_string_tiling, op2_isolation_rules, op3_circulant_minhash, op4_vector_best_fit, op5_flow_resharding, op6_url_rules, op7_toxic_grammar, op8_fuzzy_lines, op9_chat_format, op10_hyper_language)}
+
+
+def _sql_centroids(many: int = 16, rounds: int = 3) -> str:
+    """The rounds written out; components are whole numbers in doubles, so every sum and product is exact."""
+    def assigned(k: int) -> str:
+        return f"""a{k} AS (
+  SELECT v.r, v.vec_id, v.v, min([list_inner_product(v.v, v.v) - 2 * list_inner_product(v.v, c.v) + list_inner_product(c.v, c.v), c.c]) AS best
+  FROM kept v CROSS JOIN c{k} c GROUP BY v.r, v.vec_id, v.v)"""
+
+    parts = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [floor({centroids.SCALE}.0 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = {centroids.WIDTH} AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+             f"""c0 AS MATERIALIZED (
+  SELECT CAST(n - 1 AS DOUBLE) AS c, v FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) AS n FROM kept) WHERE n <= {many})"""]
+    for k in range(rounds):
+        parts.append(assigned(k))
+        parts.append(f"""m{k} AS (
+  SELECT c, list(x ORDER BY i) AS v FROM (
+    SELECT best[2] AS c, i, floor(sum(v[i]) / count(*)) AS x FROM a{k}, range(1, {centroids.WIDTH + 1}) AS t(i) GROUP BY 1, 2) GROUP BY c)""")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m ON c.c = m.c)")
+    parts.append(assigned(rounds))
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(a.best[2] AS INTEGER) AS cluster, CAST(a.best[1] AS BIGINT) AS distance,
+  CAST(sum(a.best[1]) OVER (PARTITION BY a.best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(a.best[1]) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN c.v], ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best[2]
+"""
+
+
+SQL["op11_hilbert_centroids"] = _sql_centroids()
+QUERIES = {f.__name__: f for f in (op1_string_tiling, op2_isolation_rules, op3_circulant_minhash, op4_vector_best_fit, op5_flow_resharding, op6_url_rules, op7_toxic_grammar, op8_fuzzy_lines, op9_chat_format, op10_hyper_language, op11_hilbert_centroids, op12_tournament_packing, op13_importance_resampling)}
