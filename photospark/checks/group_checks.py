@@ -9,6 +9,7 @@ from photospark.functions import text as X
 from photospark.operators import components as CC
 from photospark.operators import labels as L
 from photospark.operators import pairs as P
+from photospark.operators import quotas as Q
 from photospark.operators import splits as S
 from photospark.operators import status as ST
 from photospark.session import cut_lineage
@@ -215,10 +216,37 @@ def _(v):
     return S.seeded_sample(v.photos.select("photo_id"), 48, 11)
 
 
-@check("k5_quota_select")
+QUOTAS = {"camera": {"1-URGENT": 10, "2-HIGH": 8, "5-LOW": 6}, "status": {"P": 9, "F": 12}}
+
+
+def quota_sql(quotas, n):
+    """The greedy rule pick by pick: all free photos are held against the tallies, the neediest and then least hash wins."""
+    tallies = [(f"t_{a}_{i}", a, v, q) for a, own in quotas.items() for i, (v, q) in enumerate(own.items())]
+    by_attr = [f"coalesce(CASE {' '.join(f"WHEN c.{a} = '{v}' THEN greatest(0, {q} - w.{t}) / CAST({max(1, q)} AS DOUBLE)" for t, b, v, q in tallies if a == b)} END, 0.0)" for a in quotas]
+    names = ", ".join(t for t, *_ in tallies)
+    grown = ", ".join(f"{t} + CAST(coalesce(b.{a} = '{v}', false) AS INT) AS {t}" for t, a, v, _ in tallies)
+    return f"""
+    WITH RECURSIVE cand AS (SELECT photo_id, group_id, {', '.join(quotas)}, md5('42-' || photo_id) AS h FROM photos),
+    walk AS (SELECT 0 AS i, CAST([] AS VARCHAR[]) AS used, {', '.join(f'0 AS {t}' for t, *_ in tallies)}, CAST(NULL AS VARCHAR) AS photo_id
+      UNION ALL SELECT i + 1, list_append(used, b.group_id), {grown}, b.photo_id FROM (
+        SELECT w.i, w.used, {names}, min({{'need': -({' + '.join(by_attr)}), 'h': c.h, 'photo_id': c.photo_id, 'group_id': c.group_id, {', '.join(f"'{a}': c.{a}" for a in quotas)}}}) AS b
+        FROM walk w JOIN cand c ON NOT list_contains(w.used, c.group_id) WHERE w.i < {n} GROUP BY w.i, w.used, {names}) q)
+    SELECT p.photo_id, p.group_id, {', '.join(f'p.{a}' for a in quotas)}, CAST(w.i - 1 AS INTEGER) AS pick_order FROM walk w JOIN photos p ON p.photo_id = w.photo_id"""
+
+
+def quota_picks(v, n, **kw):
+    return Q.quota_select(v.photos.select("photo_id", "group_id", "camera", "status"), QUOTAS, n, **kw)
+
+
+@check("k5_quota_select", quota_sql(QUOTAS, 30), views="photos")
+def _(v):
+    return quota_picks(v, 30)
+
+
+@check("k5_quota_select_beyond", quota_sql(QUOTAS, 60), views="photos")
 def _(v):
-    quotas = {"camera": {"1-URGENT": 10, "2-HIGH": 8, "5-LOW": 6}, "status": {"P": 9, "F": 12}}
-    return S.quota_select(v.photos.select("photo_id", "group_id", "camera", "status"), quotas, 30)
+    """More picks than the quotas ask for, in rounds of few rows: the last ones follow the hash alone."""
+    return quota_picks(v, 60, block=5, digits=2)
 
 
 @check("k6_ordered", "SELECT photo_id, group_id FROM photos", views="photos")

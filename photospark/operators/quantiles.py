@@ -2,69 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photospark.session import cut_lineage, one_row
+from photospark.session import cut_lineage
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10000) -> DataFrame:
+#: A 64-bit key is resolved in four digits, so a histogram has at most 65,536 bins.
+DIGIT, DIGITS = 16, 4
+_FRACTION, _LEAST, _HALF = 2.0 ** 52, 2.0 ** -1022, 2.0 ** 537
+_INFINITE, _NAN = 0x7FF0 << 48, 0x7FF8 << 48
+
+
+def order_key(value: Column) -> Column:
+    """A BIGINT in the order of the doubles: the bits of the absolute value, negated below zero.
+
+    Every step is exact: scaling by powers of two only, with the exponent corrected by comparisons. NaN comes last,
+    both zeros are 0.
+    """
+    v = value.cast("double")
+    size = F.abs(v)
+    rough = F.floor(F.log2(size))
+    power = F.when(F.pow(F.lit(2.0), rough) > size, rough - 1).when(F.pow(F.lit(2.0), rough + 1) <= size, rough + 1).otherwise(rough)
+    normal = (power + 1023) * F.lit(1 << 52) + ((size / F.pow(F.lit(2.0), power) - 1) * _FRACTION).cast("long")
+    bits = F.when(F.isnan(v), F.lit(_NAN)).when(size == float("inf"), F.lit(_INFINITE)).when(size < _LEAST, (size * _HALF * _HALF).cast("long")).otherwise(normal)
+    return F.when(v < 0, -bits).otherwise(bits).cast("long")
+
+
+def key_value(key: Column) -> Column:
+    """The double of an ``order_key``."""
+    bits = F.abs(key)
+    fraction = bits.bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
+    size = F.when(bits >= _NAN, float("nan")).when(bits >= _INFINITE, float("inf")).when(bits < 1 << 52, fraction / _HALF / _HALF).otherwise(
+        (1 + fraction / _FRACTION) * F.pow(F.lit(2.0), F.shiftright(bits, 52) - 1023))
+    return F.when(key < 0, -size).otherwise(size)
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Rows (keys.., p, value): linear-interpolated percentiles, equal to a full sort.
 
-    Sketches of 64 parts bracket each wanted rank: a quantile of the whole always lies between the smallest
-    and the largest of the parts' quantiles, so no task has to merge every sketch. Values below and above
-    a bracket are only counted (keeping the nearest one), values inside it are grouped with counts, so what is
-    finally ordered per key is a small share of the group. A rank outside its bracket fails the job.
+    Radix selection: the values become 64-bit keys in their order, written once. Four passes count the digits of those
+    that share the digits found so far with a wanted rank; all keys and probabilities go through the same passes. Counting combines
+    map-side, a window sees the bins of one histogram (at most 65,536), and no row is ever sorted. Null values are
+    left out, a null key is a key, and NaN is larger than all numbers.
     """
-    margin = 2.0 / accuracy
-    src = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    lows = [max(0.0, p - margin) for p in probs]
-    highs = [min(1.0, p + margin) for p in probs]
-    # rows are dealt to the parts by hash of their place, so each part is a sample of the whole in whatever order it comes
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(64))
-    parts = src.withColumn("_part", spread).groupBy(*keys, "_part").agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", lows + highs, accuracy).alias("_q"))
-    sketch = parts.groupBy(*keys).agg(
-        F.sum("_n").alias("_n"),
-        *[F.min(F.col("_q")[i]).alias(f"_lo{i}") for i in range(len(probs))],
-        *[F.max(F.col("_q")[len(probs) + i]).alias(f"_hi{i}") for i in range(len(probs))])
-    spans = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
-        for i, p in enumerate(probs)
-    ])
-    if keys:
-        tagged = src.join(sketch, keys)
-    else:
-        head = one_row(sketch)
-        tagged = src.withColumn("_h", head).select("_v", "_h.*")
-    spread = tagged.select(*keys, "_v", "_n", F.explode(spans).alias("_s"))
-    side = F.when(F.col("_v") < F.col("_s.lo"), -1).when(F.col("_v") > F.col("_s.hi"), 1).otherwise(0)
-    cells = (
-        spread.withColumn("_side", side).withColumn("_in", F.when(F.col("_side") == 0, F.col("_v")))
-        .groupBy(*keys, F.col("_s.i").alias("_i"), F.col("_s.p").alias("p"), "_n", "_side", "_in")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    )
-    w = Window.partitionBy(*keys, "_i").orderBy("_side", "_in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = cells.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
-    h = F.col("p") * (F.col("_n") - 1)
-    first = F.floor(h) + 1
-    second = F.least(first + 1, F.col("_n"))
-
-    def at(rank):
-        here = (F.col("_start") < rank) & (rank <= F.col("_end"))
-        exact = (
-            F.when(F.col("_side") == 0, F.col("_in"))
-            .when((F.col("_side") == -1) & (rank == F.col("_end")), F.col("_max"))
-            .when((F.col("_side") == 1) & (rank == F.col("_start") + 1), F.col("_min"))
-        )
-        return F.max(F.when(here, exact))
-
-    picked = placed.groupBy(*keys, "_i", "p", "_n").agg(at(first).alias("_a"), at(second).alias("_b"))
-    share = h - F.floor(h)
-    result = F.when(
-        F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("rank outside its sketch bracket")).cast("double")
-    ).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * share)
-    return picked.select(*keys, "p", result.alias("value"))
+    of = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    src = cut_lineage(df.select(of.alias("_g"), order_key(F.col(f"`{value}`")).alias("_k")).where("_k IS NOT NULL"))
+    digit = lambda level: F.shiftright("_k", DIGIT * (DIGITS - 1 - level)) if not level else F.shiftright("_k", DIGIT * (DIGITS - 1 - level)).bitwiseAND(F.lit((1 << DIGIT) - 1))
+    place = F.struct("_i", "_side", "_rest")
+    bins = src.groupBy("_g", digit(0).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy("_g")
+    bins = bins.withColumn("_n", F.sum("_c").over(whole))
+    ranks = []
+    for i, p in enumerate(probs):
+        first = F.floor(F.lit(float(p)) * (F.col("_n") - 1)).cast("long") + 1
+        ranks += [F.struct(F.lit(i).alias("_i"), F.lit(side).alias("_side"), rank.alias("_rest")) for side, rank in ((0, first), (1, F.least(first + 1, F.col("_n"))))]
+    found = _digits(bins.withColumns({"_w": F.array(*ranks), "_p": F.lit(0).cast("long")}), ["_g"])
+    for level in range(1, DIGITS):
+        wanted = found.groupBy("_g", "_p", "_n").agg(F.collect_list(place).alias("_w"))
+        inside = src.withColumn("_p", F.shiftright("_k", DIGIT * (DIGITS - level))).join(wanted, ["_g", "_p"])
+        bins = inside.groupBy("_g", "_p", "_n", "_w", digit(level).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+        found = _digits(bins, ["_g", "_p"])
+    ends = found.groupBy("_g", "_i", "_n").agg(*[F.max(F.when(F.col("_side") == side, F.col("_p"))).alias(name) for side, name in ((0, "_a"), (1, "_b"))])
+    p = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
+    low, high, at = key_value(F.col("_a")), key_value(F.col("_b")), p * (F.col("_n") - 1)
+    exact = (F.col("_a") == F.col("_b")) | (at == F.floor(at))
+    return ends.select(*[F.col("_g")[k].alias(k) for k in keys], p.alias("p"), F.when(exact, low).otherwise(low + (high - low) * (at - F.floor(at))).alias("value"))
+
+
+def _digits(bins: DataFrame, by: list[str]) -> DataFrame:
+    """The wanted ranks ``_w`` of each histogram with the digit of their bin appended to the prefix ``_p`` and their rank inside it."""
+    upto = Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = bins.withColumn("_end", F.sum("_c").over(upto)).withColumn("_before", F.col("_end") - F.col("_c"))
+    here = F.filter("_w", lambda w: (w["_rest"] > F.col("_before")) & (w["_rest"] <= F.col("_end")))
+    rows = placed.select("_g", "_n", "_before", (F.shiftleft("_p", DIGIT) + F.col("_d")).alias("_p"), F.explode(here).alias("_t"))
+    return rows.select("_g", "_n", "_p", F.col("_t._i").alias("_i"), F.col("_t._side").alias("_side"), (F.col("_t._rest") - F.col("_before")).alias("_rest"))
 
 
 def percentile_struct(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:

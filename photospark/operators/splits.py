@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from photospark.functions.text import md5_pick
 from photospark.session import collect_bounded
@@ -192,44 +191,3 @@ def ordered(df: DataFrame, key: str = "photo_id") -> DataFrame:
 def hash_order(df: DataFrame, seed: int, key: str = "photo_id") -> DataFrame:
     """Deterministic shuffle order."""
     return df.withColumn("draw", md5_pick(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))).orderBy("draw", key)
-
-
-def quota_select(df: DataFrame, quotas: dict[str, dict[str, int]], n: int, seed: int = 42, key: str = "photo_id",
-                 group: str = "group_id", cells_limit: int = 10_000) -> DataFrame:
-    """Up to ``n`` photos, one per group, always from the combination of attributes furthest under quota.
-
-    Only the first ``n`` groups per attribute combination can ever be chosen, so they alone reach the driver.
-    """
-    attrs = list(quotas)
-    first = Window.partitionBy(*attrs).orderBy("_h", key)
-    members = df.select(key, group, *attrs, seeded_hash(key, seed).alias("_h"))
-    ranked = (
-        members.groupBy(group, *attrs).agg(F.min(F.struct("_h", key)).alias("_m")).select(group, *attrs, "_m.*")
-        .withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n)
-    )
-    rows = collect_bounded(ranked.select(key, group, *attrs, "_h"), cells_limit * 10, "quota candidates")
-    cells: dict[tuple, list] = {}
-    for row in sorted(rows, key=lambda r: r["_h"]):
-        cells.setdefault(tuple(row[a] for a in attrs), []).append(row)
-    have = {a: {} for a in attrs}
-    chosen: list = []
-    used: set = set()
-
-    def need(cell: tuple) -> float:
-        return sum(max(0, quotas[a].get(v, 0) - have[a].get(v, 0)) / max(1, quotas[a].get(v, 0)) for a, v in zip(attrs, cell))
-
-    while len(chosen) < n:
-        for queue in cells.values():
-            while queue and queue[0][group] in used:
-                queue.pop(0)
-        open_cells = [c for c, queue in cells.items() if queue]
-        if not open_cells:
-            break
-        cell = min(open_cells, key=lambda c: (-need(c), cells[c][0]["_h"]))
-        row = cells[cell].pop(0)
-        chosen.append(row[key])
-        used.add(row[group])
-        for a, v in zip(attrs, cell):
-            have[a][v] = have[a].get(v, 0) + 1
-    picked = df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(chosen)], df.select(key).schema.add("pick_order", T.IntegerType()))
-    return df.join(picked, key)

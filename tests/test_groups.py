@@ -1,6 +1,8 @@
 """Pairs, components, splits and quantiles against brute force, with hot keys."""
 
+import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from photospark.operators import pairs as P
 from photospark.operators import quantiles as Q
+from photospark.operators import quotas as K
 from photospark.operators import splits as S
 from photospark.operators.components import connected_components
 
@@ -142,32 +145,49 @@ def test_pairs_split_16_2_2(spark):
     assert S.leak_check(out, df, df.limit(0)).first()["crossing_groups"] == 0
 
 
-def test_quota_selection_equals_greedy_rule(spark):
-    rng = random.Random(9)
-    rows = [(f"p{i:03d}", f"g{rng.randrange(60)}", rng.choice("xyz"), rng.choice("lm")) for i in range(200)]
-    df = spark.createDataFrame(rows, "photo_id string, group_id string, a string, b string")
-    quotas = {"a": {"x": 6, "y": 3}, "b": {"l": 5}}
-    hashed = {r["photo_id"]: r["h"] for r in df.select("photo_id", S.seeded_hash("photo_id", 42).alias("h")).collect()}
-    names, tally, used, want = sorted(rows, key=lambda r: hashed[r[0]]), {"a": {}, "b": {}}, set(), []
-    for _ in range(20):
+def greedy_picks(rows, hashed, quotas, n):
+    names, tally, used, want = sorted(rows, key=lambda r: (hashed[r[0]], r[0])), {"a": {}, "b": {}}, set(), []
+    while len(want) < n:
         def need(r):
             return sum(max(0, quotas[f].get(v, 0) - tally[f].get(v, 0)) / max(1, quotas[f].get(v, 0)) for f, v in (("a", r[2]), ("b", r[3])))
-        best = max((r for r in names if r[1] not in used), key=need)
+        free = [r for r in names if r[1] not in used]
+        if not free:
+            break
+        best = max(free, key=need)
         used.add(best[1])
         want.append(best[0])
         for f, v in (("a", best[2]), ("b", best[3])):
             tally[f][v] = tally[f].get(v, 0) + 1
-    got = [r["photo_id"] for r in S.quota_select(df, quotas, 20).orderBy("pick_order").collect()]
-    assert got == want
+    return want
+
+
+@pytest.mark.parametrize("block, n", [(4096, 20), (1, 20), (3, 45), (2, 500)])
+def test_quota_selection_equals_greedy_rule(spark, block, n):
+    rng = random.Random(9)
+    rows = [(f"p{i:03d}", rng.choice([f"g{rng.randrange(60)}", "hot"]), rng.choice(["x", "y", "z", None]), rng.choice("lm")) for i in range(200)]
+    rows += [(f"q{i}", None, "x", "l") for i in range(3)] + [("r0", "g_only", "y", None)]
+    df = spark.createDataFrame(rows, "photo_id string, group_id string, a string, b string")
+    quotas = {"a": {"x": 6, "y": 3, "none": 4, "z": 0}, "b": {"l": 5}}
+    hashed = {r["photo_id"]: r["h"] for r in df.select("photo_id", S.seeded_hash("photo_id", 42).alias("h")).collect()}
+    got = K.quota_select(df, quotas, n, block=block, digits=1).orderBy("pick_order").collect()
+    assert [r["photo_id"] for r in got] == greedy_picks(rows, hashed, quotas, n)
+    assert [r["pick_order"] for r in got] == list(range(len(got)))
+
 
+def test_quota_selection_of_nothing(spark):
+    df = spark.createDataFrame([], "photo_id string, group_id string, a string, b string")
+    assert K.quota_select(df, {"a": {"x": 2}, "b": {}}, 5).count() == 0
+    one = spark.createDataFrame([("p", "g", "x", "l")], df.schema)
+    assert K.quota_select(one, {"a": {"x": 2}, "b": {}}, 0).count() == 0
+    assert [r["pick_order"] for r in K.quota_select(one, {"a": {}, "b": {}}, 5).collect()] == [0]
 
-@pytest.mark.parametrize("accuracy", [50, 10000])
-def test_percentiles_equal_a_full_sort(spark, accuracy):
+
+def test_percentiles_equal_a_full_sort(spark):
     rng = np.random.default_rng(2)
     groups = {"hot": np.r_[rng.normal(size=3000), np.zeros(2000)], "ties": np.repeat([1.0, 2.0], 50), "one": np.array([7.0]), "two": np.array([1.0, 2.0])}
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double").repartition(4)
     probs = [0.0, 0.01, 1 / 3, 0.5, 0.95, 1.0]
-    got = {(r["k"], r["p"]): r["value"] for r in Q.exact_percentiles(df, ["k"], "v", probs, accuracy).collect()}
+    got = {(r["k"], r["p"]): r["value"] for r in Q.exact_percentiles(df, ["k"], "v", probs).collect()}
     for k, vs in groups.items():
         for p in probs:
             assert abs(got[k, p] - np.percentile(vs, p * 100)) < 1e-9
@@ -183,10 +203,31 @@ def test_global_rank_is_dense_and_ordered(spark):
     assert [(r["v"], r["id"]) for r in sorted(rows, key=lambda r: r["rank"])] == want and {r["rank"] for r in rows} == set(range(1, 3001))
 
 
-def test_percentile_parts_follow_no_order(spark):
-    """Ascending input: each part is a sample of the whole, so the brackets of the parts stay narrow."""
+def test_percentiles_of_ordered_input(spark):
     df = spark.range(0, 400_000, 1, 8).select(F.col("id").cast("double").alias("v"))
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(64))
-    parts = df.withColumn("part", spread).groupBy("part").agg(F.percentile_approx("v", F.lit(0.5), F.lit(10_000)).alias("m")).agg(F.max("m") - F.min("m")).first()[0]
-    assert parts < 0.1 * 400_000
     assert Q.exact_percentiles(df, [], "v", [0.5]).first()["value"] == 199_999.5
+
+
+def test_order_keys_are_exact_and_ordered(spark):
+    rng = random.Random(12)
+    values = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(4000)]
+    values += [s * v for s in (1, -1) for e in range(-1074, 1024) for v in (2.0 ** e,)] + [s * (2.0 ** e + d * 2.0 ** (e - 52)) for s in (1, -1) for e in (-1000, -1, 0, 1, 52, 1000) for d in (-0.5, 1)]
+    values += [0.0, -0.0, math.inf, -math.inf, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308]
+    values = [v for v in values if v == v]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", Q.order_key(F.col("v")).alias("k")).select("v", "k", Q.key_value(F.col("k")).alias("back")).collect()
+    for r in rows:
+        bits = struct.unpack("<q", struct.pack("<d", abs(r["v"])))[0]
+        assert r["k"] == (-bits if r["v"] < 0 else bits) and r["back"] == r["v"]
+    nan = spark.createDataFrame([(math.nan,), (math.inf,)], "v double").select(Q.order_key(F.col("v")).alias("k")).collect()
+    assert nan[0]["k"] > nan[1]["k"]
+
+
+def test_percentiles_of_odd_values(spark):
+    far = [-1e308, -1e-300, -5e-324, 0.0, 5e-324, 1e-300, 1e-5, 1.0, 1e300]
+    rows = [("a", v) for v in far] + [(None, 3.0), (None, 3.0), ("gone", None), ("nan", math.nan), ("nan", 1.0), ("inf", math.inf), ("inf", math.inf)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {(r["k"], r["p"]): r["value"] for r in Q.exact_percentiles(df, ["k"], "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+        assert got["a", p] == pytest.approx(np.percentile(far, p * 100), rel=1e-12)
+    assert got[None, 0.5] == 3.0 and ("gone", 0.5) not in got and got["nan", 0.0] == 1.0 and math.isnan(got["nan", 1.0]) and got["inf", 0.5] == math.inf
+    assert Q.exact_percentiles(df.where("k = 'none'"), ["k"], "v", [0.5]).count() == 0
