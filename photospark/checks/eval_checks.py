@@ -336,9 +336,12 @@ def _(v):
 GROUP_ERRORS = SCORES + """,
     perr AS (SELECT s.group_id, c.p2 AS control, l.p2 AS candidate FROM pscore c JOIN pscore l ON l.photo = c.photo AND l.model = 'linear' JOIN split_of s ON s.photo = c.photo WHERE c.model = 'constant'),
     sums AS (SELECT group_id, sum(control) AS control, sum(candidate) AS candidate, row_number() OVER (ORDER BY group_id) - 1 AS pos FROM perr GROUP BY group_id)"""
-DRAWS = 400
+DRAWS, BUCKET = 400, 64
 BOOT = GROUP_ERRORS + f""",
-    picks AS (SELECT CAST(id // g AS BIGINT) AS draw, @pick('7-' || id) % g AS pos FROM (SELECT count(*) AS g FROM sums) n, LATERAL (SELECT unnest(range(0, {DRAWS} * g)) AS id) r),
+    dealt AS (SELECT draw, bucket, count(*) AS k, any_value(g) AS g FROM (
+      SELECT id // g AS draw, (@pick('7-' || id) % g) // {BUCKET} AS bucket, g FROM (SELECT count(*) AS g FROM sums) n, LATERAL (SELECT unnest(range(0, {DRAWS} * g)) AS id) r) q GROUP BY 1, 2),
+    picks AS (SELECT draw, bucket * {BUCKET} + @pick('7-' || draw || '-' || bucket || '-' || j) % least({BUCKET}, g - bucket * {BUCKET}) AS pos FROM (
+      SELECT draw, bucket, g, unnest(range(1, k + 1)) AS j FROM dealt) q),
     draws AS (SELECT draw, 1 - sum(candidate) / sum(control) AS gain FROM picks JOIN sums USING (pos) GROUP BY draw)"""
 
 
@@ -350,7 +353,7 @@ def group_errors(v):
 
 @check("a33_paired_bootstrap", "WITH " + BOOT + " SELECT quantile_cont(gain, 0.025) AS low, quantile_cont(gain, 0.975) AS high FROM draws", views=LONG, doubles="low high")
 def _(v):
-    return G.paired_bootstrap(group_errors(v), DRAWS, 7)
+    return G.paired_bootstrap(group_errors(v), DRAWS, 7, width=BUCKET)
 
 
 @check("a34_seed_summary", "SELECT event_type AS run, avg(value) AS mean, stddev_samp(value) AS sd, count(*) AS seeds FROM events GROUP BY event_type", doubles="mean sd")
@@ -375,7 +378,7 @@ def _(v):
     runs = pscores(v).groupBy("split").agg(of("constant", F.col("p2")).alias("control"), of("linear", F.col("p2")).alias("candidate"))
     fields = errors(v).where(F.col("parameter").isin("Exposure", "HighlightRecovery")).groupBy("parameter").agg(
         of("constant", F.abs("raw_error")).alias("control"), of("linear", F.abs("raw_error")).alias("candidate"))
-    return G.promotion_gates(runs, fields, G.paired_bootstrap(group_errors(v), DRAWS, 7))
+    return G.promotion_gates(runs, fields, G.paired_bootstrap(group_errors(v), DRAWS, 7, width=BUCKET))
 
 
 RULES = [("lower_mae", "mae", "<=", "constant", 1.0, 0.0), ("rmse_within_110pct", "rmse", "<=", "constant", 1.1, 0.0), ("mae_below_limit", "mae", "<=", None, 0.0, 5.0)]

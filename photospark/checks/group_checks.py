@@ -38,7 +38,21 @@ def _(v):
 
 @check("j6_near_dup_hot_keys", f"WITH {CODES} {pair_sql(4, 8)}", views="hashes")
 def _(v):
-    return near(v, blocks=5, hot=20)
+    return near(v, crowd=20, depth=4)
+
+
+@check("j6_near_dup_links", f"""
+    WITH RECURSIVE {CODES}, near AS ({pair_sql(2, 4)}), links AS (SELECT "left" AS u, "right" AS v FROM near UNION SELECT "right", "left" FROM near),
+    reach AS (SELECT rep AS a, rep AS b FROM codes UNION SELECT r.a, l.v FROM reach r JOIN links l ON l.u = r.b),
+    groups AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+    SELECT root, count(*) AS codes, count(*) - 1 AS links FROM groups GROUP BY root""", views="hashes")
+def _(v):
+    """The links span the components of all pairs, and there are as few of them as that takes."""
+    links = cut_lineage(P.near_dup_links(v.hashes, 2, 4, bits=32, crowd=50))
+    groups = CC.connected_components(P.hash_codes(v.hashes).select(F.col("rep").alias("id")), links.select(F.col("left").alias("u"), F.col("right").alias("v")))
+    own = links.join(groups.select(F.col("id").alias("left"), "group"), "left").groupBy("group").agg(F.count(F.lit(1)).alias("links"))
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("codes"))
+    return sizes.join(own, "group", "left").select(F.col("group").alias("root"), "codes", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 COPIES = """copies AS (SELECT rep AS "left", h.id AS "right" FROM hashes h JOIN codes c ON c.d = h.d AND c.p = h.p WHERE h.id <> c.rep)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photospark.functions.text import md5_pick
@@ -14,19 +14,44 @@ def group_sums(errors: DataFrame, group: str = "group_id") -> DataFrame:
     return errors.groupBy(group).agg(F.sum("control").alias("control"), F.sum("candidate").alias("candidate"), F.count(F.lit(1)).alias("n"))
 
 
-def paired_bootstrap(errors: DataFrame, draws: int, seed: int, group: str = "group_id") -> DataFrame:
+#: Groups that a bucket of the bootstrap holds; their sums travel as one array.
+WIDTH = 4096
+
+
+def bucket_draws(spark: SparkSession, groups: int, draws: int, seed: int, width: int = WIDTH) -> DataFrame:
+    """(draw, bucket, picks): how many of the ``groups`` picks of each draw fall into each run of ``width`` groups.
+
+    The first level of the resampling tree. Pick ``i`` has an MD5-derived position; a task makes the picks of a run of
+    draws and counts them per bucket before anything is sent, so draws x buckets rows travel at most once per task.
+    """
+    place = F.pmod(md5_pick(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"))), F.lit(groups))
+    return spark.range(draws * groups).select(F.floor(F.col("id") / groups).alias("draw"), F.floor(place / width).alias("bucket")).groupBy("draw", "bucket").agg(
+        F.count(F.lit(1)).alias("picks"))
+
+
+def bucket_picks(seed: int, picks: Column, size: Column) -> Column:
+    """Positions inside a bucket of ``size`` groups for the picks that fell into it: the second level of the tree."""
+    toss = lambda j: md5_pick(F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), F.col("bucket").cast("string"), j.cast("string")))
+    return F.transform(F.sequence(F.lit(1).cast("long"), picks), lambda j: F.pmod(toss(j), size).cast("int"))
+
+
+def paired_bootstrap(errors: DataFrame, draws: int, seed: int, group: str = "group_id", width: int = WIDTH) -> DataFrame:
     """2.5/97.5 % interval of the relative improvement when whole groups are resampled.
 
-    Pick ``i`` of draw ``b`` is an MD5-derived position, so picks are generated in parallel and spread evenly
-    over the positions; they meet the group sums in one equi-join and are summed per draw map-side.
+    Each draw takes as many groups as there are, with replacement. Its picks go down a tree of two levels: they are
+    counted per bucket of ``width`` groups, and a bucket, which holds the sums of its groups as one array, deals its own
+    picks to them where the array is. So no row per draw and group is ever sent, and sums are combined map-side.
     """
-    sums = global_rank(group_sums(errors, group), [F.col(group)], "position").withColumn("_at", F.col("position") - 1).drop("position")
+    sums = global_rank(group_sums(errors, group), [F.col(group)], "position").withColumn("_at", F.col("position") - 1)
     total = sums.count()
     if total == 0:
         raise ValueError("no groups to resample")
-    picks = errors.sparkSession.range(draws * total).select(
-        F.floor(F.col("id") / total).alias("draw"), F.pmod(md5_pick(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"))), F.lit(total)).alias("_at"))
-    scores = picks.join(sums, "_at").groupBy("draw").agg(F.sum("control").alias("control"), F.sum("candidate").alias("candidate"))
+    members = sums.groupBy(F.floor(F.col("_at") / width).alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("_at", "control", "candidate"))).alias("_members"))
+    dealt = bucket_draws(errors.sparkSession, total, draws, seed, width).join(members, "bucket")
+    drawn = F.transform(bucket_picks(seed, F.col("picks"), F.size("_members")), lambda k: F.get("_members", k))
+    zero = F.struct(F.lit(0.0).alias("control"), F.lit(0.0).alias("candidate"))
+    added = F.aggregate(drawn, zero, lambda acc, m: F.struct((acc["control"] + m["control"]).alias("control"), (acc["candidate"] + m["candidate"]).alias("candidate")))
+    scores = dealt.select("draw", added.alias("_s")).groupBy("draw").agg(F.sum("_s.control").alias("control"), F.sum("_s.candidate").alias("candidate"))
     # one value per draw: the percentile state is bounded by the number of draws
     gain = F.lit(1.0) - F.col("candidate") / F.col("control")
     return scores.agg(F.percentile(gain, F.array(F.lit(0.025), F.lit(0.975))).alias("_q")).select(

@@ -7,14 +7,15 @@ copies costs one row per photo instead of one row per pair while describing ever
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photospark.contract import require
 from photospark.functions.arrays import hamming
+from photospark.operators.components import connected_components
 from photospark.session import cut_lineage
 
 
@@ -22,34 +23,65 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def block_masks(bits: int, limit: int, blocks: int) -> list[int]:
-    """Masks keeping ``blocks - limit`` of ``blocks`` bit ranges: codes within ``limit`` agree on at least one."""
-    edges = [bits * i // blocks for i in range(blocks + 1)]
-    ranges = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(blocks)]
-    return [_signed(sum(ranges[i] for i in kept)) for kept in combinations(range(blocks), blocks - limit)]
+def bit_runs(free: int, limit: int) -> list[int]:
+    """Masks of ``limit + 1`` runs of the free bits: codes that differ in at most ``limit`` of them agree on one run."""
+    places = [b for b in range(64) if free >> b & 1]
+    edges = [len(places) * i // (limit + 1) for i in range(limit + 2)]
+    return [sum(1 << b for b in places[edges[i]:edges[i + 1]]) for i in range(limit + 1)]
 
 
-def choose_blocks(n: int, bits: int, limit: int, max_keys: int = 500) -> int:
-    """Number of blocks with the least expected work: keys written plus chance candidates compared."""
-    def work(blocks: int) -> float:
-        keys = comb(blocks, limit)
-        return n * keys + n * n * keys / 2 ** (bits * (blocks - limit) / blocks)
+@dataclass(frozen=True)
+class Path:
+    """The runs on which the codes of a cell agree, and the earlier runs on which a pair must not agree to be kept here."""
 
-    options = [b for b in range(limit + 1, bits + 1) if comb(b, limit) <= max_keys]
-    return min(options, key=work)
+    d: int = 0
+    p: int = 0
+    not_d: tuple[int, ...] = ()
+    not_p: tuple[int, ...] = ()
 
 
-def _keys(code: Column, masks: list[int]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("c"), code.bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)])
+def split_tree(bits: int, d: int, p: int, depth: int) -> list[list[tuple[int, Path]]]:
+    """Per level (path of the level before, path): a cell is split on runs of the first hash, then of the second, in turn.
+
+    A level after the first is left out where its runs are so short that more copies than cells would be made.
+    """
+    whole, paths, levels = (1 << bits) - 1, [Path()], []
+    for level in range(depth):
+        limit = p if level % 2 else d
+        free = min(bin(whole & ~(old.p if level % 2 else old.d)).count("1") for old in paths)
+        if level and 2 * (limit + 1) > 2 ** (free / (limit + 1)):
+            break
+        children = []
+        for at, old in enumerate(paths):
+            runs = bit_runs(whole & ~(old.p if level % 2 else old.d), limit)
+            for i, m in enumerate(runs):
+                children.append((at, Path(old.d, old.p | m, old.not_d, (*old.not_p, *runs[:i])) if level % 2 else Path(old.d | m, old.p, (*old.not_d, *runs[:i]), old.not_p)))
+        levels.append(children)
+        paths = [c for _, c in children]
+    return levels
+
+
+CELL = ["path", "kd", "kp"]
+
+
+def _table(spark: SparkSession, children: list[tuple[int, Path]]) -> DataFrame:
+    """The paths of a level as rows; their number depends on the limits only."""
+    rows = [(old, i, _signed(c.d), _signed(c.p), [_signed(m) for m in c.not_d], [_signed(m) for m in c.not_p]) for i, (old, c) in enumerate(children)]
+    return F.broadcast(spark.createDataFrame(rows, "_old int, _path int, _md long, _mp long, _not_d array<long>, _not_p array<long>"))
+
+
+def _split(rows: DataFrame, children: list[tuple[int, Path]]) -> DataFrame:
+    """Rows in the cells one level down: path, and the bits of both hashes on which the cell agrees."""
+    below = _table(rows.sparkSession, children).drop("_not_d", "_not_p")
+    kept = [c for c in rows.columns if c not in CELL]
+    return rows.join(below, F.col("path") == F.col("_old")).select(
+        *kept, F.col("_path").alias("path"), F.col("d").bitwiseAND(F.col("_md")).alias("kd"), F.col("p").bitwiseAND(F.col("_mp")).alias("kp"))
 
 
-def _first_agreement(a: Column, b: Column, masks: list[int]) -> Column:
-    """Index of the first mask on which two codes agree: the one key under which a pair is kept."""
-    diff = a.bitwiseXOR(b)
-    chain = F.when(diff.bitwiseAND(F.lit(masks[0]).cast("long")) == 0, 0)
-    for i, m in enumerate(masks[1:], 1):
-        chain = chain.when(diff.bitwiseAND(F.lit(m).cast("long")) == 0, i)
-    return chain
+def _kept_here(pairs: DataFrame, children: list[tuple[int, Path]], dd: Column, pp: Column) -> DataFrame:
+    """Pairs that, by their differing bits, agree on no earlier run: such a pair is found in this cell only."""
+    clear = lambda masks, diff: F.forall(masks, lambda m: diff.bitwiseAND(m) != 0)
+    return pairs.join(_table(pairs.sparkSession, children).drop("_md", "_mp"), F.col("path") == F.col("_path")).where(clear("_not_d", dd) & clear("_not_p", pp))
 
 
 def hash_codes(hashes: DataFrame, id_col: str = "id") -> DataFrame:
@@ -57,33 +89,91 @@ def hash_codes(hashes: DataFrame, id_col: str = "id") -> DataFrame:
     return hashes.groupBy("d", "p").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-def near_dup_pairs(hashes: DataFrame, d: int = 4, p: int = 8, bits: int = 64, blocks: int | None = None,
-                   hot: int = 20_000, id_col: str = "id") -> DataFrame:
+def _in_root(codes: DataFrame) -> DataFrame:
+    return codes.withColumns({"path": F.lit(0), "kd": F.lit(0).cast("long"), "kp": F.lit(0).cast("long")})
+
+
+def _crowded(rows: DataFrame, crowd: int) -> DataFrame:
+    """Rows with ``_n``, the size of their cell where that is above ``crowd`` (else null)."""
+    return rows.join(rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd), CELL, "left")
+
+
+def _meet(rows: DataFrame, crowd: int, columns: list[str]) -> DataFrame:
+    """Pairs of rows of a cell (rep_l < rep_r). A cell of more than ``crowd`` rows is cut in pieces, and each piece meets each in a task of its own."""
+    pieces = F.coalesce(F.ceil(F.col("_n") / crowd), F.lit(1)).cast("long")
+    own = rows.withColumn("_own", F.pmod(F.xxhash64("rep"), pieces)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    side = lambda s, own_key, other_key: own.select(*CELL, F.col("_own").alias(own_key), F.col("_other").alias(other_key), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    return side("l", "_a", "_b").join(side("r", "_b", "_a"), [*CELL, "_a", "_b"]).where("rep_l < rep_r")
+
+
+def near_dup_pairs(hashes: DataFrame, d: int = 4, p: int = 8, bits: int = 64, crowd: int = 2000, depth: int = 3, id_col: str = "id") -> DataFrame:
     """Pairs of distinct codes within both limits: (left, right, dhash, phash, n_left, n_right).
 
-    Codes are matched on bit blocks that must agree (exact recall); a block value shared by more than
-    ``hot`` codes is matched on blocks of the second hash as well. A pair is kept under its first agreeing
-    key only, so no de-duplication shuffle follows. The codes are written once because they are counted and
-    read from both sides of the join. Copies of one code: ``copy_links``.
+    Codes within a limit agree on one of ``limit + 1`` runs of bits, so they meet in a cell (exact recall). A cell of
+    more than ``crowd`` codes is split again: on runs of the second hash, then on runs of the bits of the first that are
+    still free. A pair is kept under its first agreeing runs only, so no de-duplication shuffle follows. Cells that
+    stay crowded at the last level are compared piece by piece. Copies of one code: ``copy_links``; where the pairs
+    themselves would be too many: ``near_dup_links``.
+    """
+    rows, parts, levels = _in_root(cut_lineage(hash_codes(hashes, id_col))), [], split_tree(bits, d, p, depth)
+    for children in levels:
+        marked = _crowded(_split(rows, children), crowd)
+        leaf = marked if children is levels[-1] else marked.where("_n IS NULL")
+        met = _meet(leaf, crowd, ["d", "p", "rep", "n"])
+        dd, pp = F.col("d_l").bitwiseXOR(F.col("d_r")), F.col("p_l").bitwiseXOR(F.col("p_r"))
+        near = _kept_here(met.where((F.bit_count(dd) <= d) & (F.bit_count(pp) <= p)), children, dd, pp)
+        parts.append(near.select(F.col("rep_l").alias("left"), F.col("rep_r").alias("right"), F.bit_count(dd).alias("dhash"), F.bit_count(pp).alias("phash"),
+                                 F.col("n_l").alias("n_left"), F.col("n_r").alias("n_right")))
+        rows = marked.where("_n IS NOT NULL").drop("_n")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def near_dup_links(hashes: DataFrame, d: int = 4, p: int = 8, bits: int = 64, crowd: int = 2000, depth: int = 3, id_col: str = "id") -> DataFrame:
+    """(left, right): a spanning forest of the codes under ``near_dup_pairs``, with one link less than codes in each component.
+
+    The cells are the same. In each, every code is first held against two of its members; then members of different
+    components are compared, and cells inside one component are left out. Of the links found in a round each component
+    keeps its least one, so a dense ball of codes costs about a link per code. With ``copy_links`` it spans all photos.
     """
-    codes = cut_lineage(hash_codes(hashes, id_col))
-    if blocks is None:
-        blocks = choose_blocks(codes.count(), bits, d)
-    d_masks = block_masks(bits, d, blocks)
-    p_masks = block_masks(bits, p, p + 1)
-    keyed = codes.select("*", F.explode(_keys(F.col("d"), d_masks)).alias("_k")).select("d", "p", "rep", "n", "_k.*")
-    crowded = keyed.groupBy("c", "key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("c", "key", F.lit(True).alias("_hot"))
-    marked = keyed.join(crowded, ["c", "key"], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    single = F.array(F.struct(F.lit(-1).alias("c"), F.lit(0).cast("long").alias("key")))
-    ready = marked.withColumn("_p", F.explode(F.when(F.col("_hot"), _keys(F.col("p"), p_masks)).otherwise(single)))
-    side = lambda s: ready.select("c", "key", F.col("_p.c").alias("pc"), F.col("_p.key").alias("pkey"),
-                                  *[F.col(x).alias(f"{x}_{s}") for x in ("d", "p", "rep", "n")])
-    joined = side("l").join(side("r"), ["c", "key", "pc", "pkey"]).where("rep_l < rep_r")
-    dh, ph = hamming(F.col("d_l"), F.col("d_r")), hamming(F.col("p_l"), F.col("p_r"))
-    close = joined.where((dh <= d) & (ph <= p) & (F.col("c") == _first_agreement(F.col("d_l"), F.col("d_r"), d_masks)))
-    once = close.where((F.col("pc") == -1) | (F.col("pc") == _first_agreement(F.col("p_l"), F.col("p_r"), p_masks)))
-    return once.select(F.col("rep_l").alias("left"), F.col("rep_r").alias("right"), dh.alias("dhash"), ph.alias("phash"),
-                       F.col("n_l").alias("n_left"), F.col("n_r").alias("n_right"))
+    codes = cut_lineage(hash_codes(hashes, id_col).select("d", "p", "rep"))
+    roots = codes.select("rep", F.col("rep").alias("root"))
+    rows, forest, levels = _in_root(codes), [], split_tree(bits, d, p, depth)
+    near = lambda other: (F.bit_count(F.col("d").bitwiseXOR(F.col(f"{other}.d"))) <= d) & (F.bit_count(F.col("p").bitwiseXOR(F.col(f"{other}.p"))) <= p)
+    for children in levels:
+        cells = cut_lineage(_crowded(_split(rows, children), crowd))
+        last, star = children is levels[-1], True
+        while True:
+            placed = cells.join(roots, "rep")
+            member = F.struct("rep", "d", "p", "root")
+            open_cells = placed.groupBy(*CELL).agg(F.min(member).alias("_a"), F.max(member).alias("_b"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
+            if star:
+                held = placed.join(open_cells, CELL).withColumn("_o", F.explode(F.array("_a", "_b"))).where((F.col("root") != F.col("_o.root")) & near("_o"))
+                found = held.select(F.col("rep").alias("a"), F.col("_o.rep").alias("b"), F.col("root").alias("ra"), F.col("_o.root").alias("rb"))
+            else:
+                live = placed.join(open_cells.select(*CELL), CELL, "left_semi")
+                met = _meet(live if last else live.where("_n IS NULL"), crowd, ["d", "p", "rep", "root"]).where("root_l <> root_r")
+                close = (F.bit_count(F.col("d_l").bitwiseXOR(F.col("d_r"))) <= d) & (F.bit_count(F.col("p_l").bitwiseXOR(F.col("p_r"))) <= p)
+                found = met.where(close).select(F.col("rep_l").alias("a"), F.col("rep_r").alias("b"), F.col("root_l").alias("ra"), F.col("root_r").alias("rb"))
+            link = F.struct(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("order"), F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v"))
+            ends = found.select(link.alias("_l"), F.explode(F.array("ra", "rb")).alias("_root"))
+            chosen = cut_lineage(ends.groupBy("_root").agg(F.min("_l").alias("_l")).select("_l.left", "_l.right", "_l.u", "_l.v").distinct())
+            if chosen.isEmpty():
+                if not star:
+                    break
+                star = False
+                continue
+            star = False
+            forest.append(chosen.select("left", "right"))
+            moved = connected_components(chosen.select(F.col("u").alias("id")).union(chosen.select(F.col("v").alias("id"))).distinct(), chosen.select("u", "v"))
+            roots = cut_lineage(roots.join(moved.select(F.col("id").alias("root"), F.col("group").alias("_to")), "root", "left").select("rep", F.coalesce("_to", "root").alias("root")))
+        if last:
+            break
+        spread = cells.where("_n IS NOT NULL").join(roots, "rep")
+        open_cells = spread.groupBy(*CELL).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select(*CELL)
+        rows = cut_lineage(spread.join(open_cells, CELL, "left_semi").drop("_n", "root"))
+        if rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, forest) if forest else codes.select(F.col("rep").alias("left"), F.col("rep").alias("right")).limit(0)
 
 
 def copy_links(df: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:

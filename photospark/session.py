@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet to the shared checkpoint folder and continue from the written copy.
+
+    A copy survives lost executors, is read by column, has exact sizes for the optimizer, and carries none of the
+    constraints of the plan that made it, which grow from round to round in a loop.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def one_row(df: DataFrame) -> Column:

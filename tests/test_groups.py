@@ -42,7 +42,7 @@ def make_hashes(n, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"blocks": 5}, {"blocks": 6, "hot": 10}])
+@pytest.mark.parametrize("options", [{}, {"crowd": 10}, {"crowd": 3, "depth": 4}, {"crowd": 5, "depth": 1}])
 def test_hamming_pairs_equal_brute_force(spark, options):
     rows = make_hashes(400)
     df = spark.createDataFrame(rows, "id long, d long, p long")
@@ -57,6 +57,49 @@ def test_hamming_pairs_equal_brute_force(spark, options):
     assert links == {(min(v), i) for v in codes.values() for i in v if i != min(v)}
 
 
+def components_of(nodes, links):
+    parent = {i: i for i in nodes}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {i: root(i) for i in nodes}
+
+
+@pytest.mark.parametrize("options", [{}, {"crowd": 4}, {"crowd": 3, "depth": 2}])
+def test_links_are_a_spanning_forest_of_the_pairs(spark, options):
+    rows = make_hashes(300, seed=8)
+    df = spark.createDataFrame(rows, "id long, d long, p long")
+    reps = {}
+    for i, d, p in rows:
+        reps.setdefault((d, p), i)
+    nodes = list(reps.values())
+    want = components_of(nodes, [(i, j) for (a, x), i in reps.items() for (b, y), j in reps.items() if i < j and bits(a ^ b) <= 4 and bits(x ^ y) <= 8])
+    links = [tuple(r) for r in P.near_dup_links(df, 4, 8, **options).collect()]
+    code = {i: c for c, i in reps.items()}
+    assert all(bits(code[a][0] ^ code[b][0]) <= 4 and bits(code[a][1] ^ code[b][1]) <= 8 and a < b for a, b in links)
+    assert components_of(nodes, links) == want and len(links) == len(nodes) - len(set(want.values()))
+
+
+def test_a_dense_ball_costs_about_a_link_per_code(spark):
+    rng = random.Random(13)
+    seen = {0}
+    while len(seen) < 6000:
+        seen.add(sum(1 << b for b in rng.sample(range(64), 3)))
+    df = spark.createDataFrame([(i, signed(c), 5) for i, c in enumerate(sorted(seen))], "id long, d long, p long")
+    assert P.near_dup_links(df, 4, 8, crowd=500).count() == 5999
+
+
+def test_no_codes_have_no_pairs(spark):
+    df = spark.createDataFrame([], "id long, d long, p long")
+    assert P.near_dup_pairs(df).count() == 0 and P.near_dup_links(df).count() == 0
+
+
 def test_time_and_visual_proposals(spark):
     h = spark.createDataFrame([(0, 0, 0), (1, 0, 0), (2, -1, -1)], "id long, d long, p long")
     ctx = spark.createDataFrame([(0, "cam", "2020-01-01 00:00:00"), (1, "cam", None), (2, "cam", "2020-01-01 00:00:02")], "id long, camera string, t string").withColumn("t", F.col("t").cast("timestamp"))
