@@ -86,20 +86,27 @@ def _(v):
     return P.burst_neighbors(v.captures, ["camera"], 600, bins=16).fillna(-1.0, ["next_gap"])
 
 
+def photos_of(v):
+    return v.hashes.join(v.captures, "id", "left")
+
+
 def proposals(v):
-    visual = near(v).select("left", "right", "dhash", "phash", F.lit("visual_hash").alias("reason"))
-    copies = P.copy_links(v.hashes, ["d", "p"]).select("left", "right", F.lit(0).alias("dhash"), F.lit(0).alias("phash"), F.lit("visual_hash").alias("reason"))
-    timed = P.burst_pairs(v.captures.join(v.hashes.select("id"), "id", "left_semi"), ["camera"], 6000).select(F.col("right").alias("left"), F.col("left").alias("right"))
-    timed = P.with_distances(timed, v.hashes).select("left", "right", "dhash", "phash", F.lit("same_camera_capture").alias("reason"))
-    return P.merge_pairs(visual, copies, timed)
+    return P.related_pairs(photos_of(v), ["camera"], bits=32, gap_seconds=6000)
 
 
-PROPOSALS = f"""{CODES}, {COPIES}, hinst AS (SELECT camera, epoch_us(t) AS at, min(id) AS rep FROM captures WHERE id IN (SELECT id FROM hashes) GROUP BY 1, 2),
-    prop AS (SELECT l AS "left", r AS "right", dhash, phash, string_agg(DISTINCT reason, '+' ORDER BY reason) AS reasons FROM (
-      SELECT least("left", "right") AS l, greatest("left", "right") AS r, dhash, phash, reason FROM (
-      SELECT "left", "right", dhash, phash, 'visual_hash' AS reason FROM ({pair_sql(4, 8)}) a UNION ALL SELECT "left", "right", 0, 0, 'visual_hash' FROM copies
-      UNION ALL SELECT a.rep, b.rep, CAST(bit_count(xor(ha.d, hb.d)) AS INT), CAST(bit_count(xor(ha.p, hb.p)) AS INT), 'same_camera_capture'
-        FROM hinst a JOIN hinst b ON a.camera = b.camera AND b.at > a.at AND b.at - a.at <= 6000000000 JOIN hashes ha ON ha.id = a.rep JOIN hashes hb ON hb.id = b.rep) u) o GROUP BY l, r, dhash, phash)"""
+SHOTS = "shots AS (SELECT h.id, h.d, h.p, c.camera, epoch_us(c.t) AS us FROM hashes h LEFT JOIN captures c ON c.id = h.id)"
+LOOKS, TIMES = "(bit_count(xor(a.d, b.d)) <= 4 AND bit_count(xor(a.p, b.p)) <= 8)", "coalesce(a.camera = b.camera AND abs(a.us - b.us) <= 6000000000, false)"
+PROPOSALS = f"""{CODES}, {SHOTS}, moments AS (SELECT camera, us, min(id) AS rep FROM shots WHERE camera IS NOT NULL AND us IS NOT NULL GROUP BY ALL),
+    joint AS (SELECT d, p, camera, us, min(id) AS rep FROM shots WHERE camera IS NOT NULL AND us IS NOT NULL GROUP BY ALL),
+    proposed AS (SELECT "left", "right" FROM ({pair_sql(4, 8)}) a
+      UNION SELECT c.rep, s.id FROM shots s JOIN codes c ON c.d = s.d AND c.p = s.p WHERE s.id <> c.rep
+      UNION SELECT m.rep, s.id FROM shots s JOIN moments m ON m.camera = s.camera AND m.us = s.us WHERE s.id <> m.rep
+      UNION SELECT j.rep, s.id FROM shots s JOIN joint j ON j.camera = s.camera AND j.us = s.us AND j.d = s.d AND j.p = s.p WHERE s.id <> j.rep
+      UNION SELECT least(a.rep, b.rep), greatest(a.rep, b.rep) FROM moments a JOIN moments b ON a.camera = b.camera AND b.us > a.us AND b.us - a.us <= 6000000000
+      UNION SELECT a.rep, b.rep FROM joint a JOIN joint b ON a.rep < b.rep AND {LOOKS} AND {TIMES}),
+    prop AS (SELECT a.id AS "left", b.id AS "right", CAST(bit_count(xor(a.d, b.d)) AS INT) AS dhash, CAST(bit_count(xor(a.p, b.p)) AS INT) AS phash,
+      concat_ws('+', CASE WHEN {TIMES} THEN 'same_camera_capture' END, CASE WHEN {LOOKS} THEN 'visual_hash' END) AS reasons
+      FROM proposed q JOIN shots a ON a.id = q."left" JOIN shots b ON b.id = q."right")"""
 
 
 @check("j8_merge_pairs", f"""WITH {PROPOSALS} SELECT * FROM prop""", views="hashes captures")
@@ -107,6 +114,13 @@ def _(v):
     return proposals(v).select("left", "right", "dhash", "phash", F.array_join("reasons", "+").alias("reasons"))
 
 
+@check("j8_reason_counts", f"""WITH {SHOTS} SELECT count(*) FILTER ({LOOKS} AND NOT {TIMES}) AS visual_only, count(*) FILTER ({TIMES} AND NOT {LOOKS}) AS timed_only,
+    count(*) FILTER ({LOOKS} AND {TIMES}) AS "both" FROM shots a JOIN shots b ON a.id < b.id""", views="hashes captures")
+def _(v):
+    """All pairs of photos by their reasons, counted over classes; the twin goes through every pair."""
+    return P.related_counts(photos_of(v), ["camera"], bits=32, gap_seconds=6000)
+
+
 @check("j9_merge_branches", f"""
     WITH {CODES} SELECT "left", "right", string_agg(branch || ':' || dhash || '/' || phash, ' ' ORDER BY branch) AS matches FROM (
       SELECT 'low' AS branch, * FROM ({pair_sql(4, 8)}) a UNION ALL SELECT 'wide', * FROM ({pair_sql(6, 10)}) b) u GROUP BY "left", "right" """, views="hashes")

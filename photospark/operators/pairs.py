@@ -176,10 +176,17 @@ def near_dup_links(hashes: DataFrame, d: int = 4, p: int = 8, bits: int = 64, cr
     return reduce(DataFrame.unionByName, forest) if forest else codes.select(F.col("rep").alias("left"), F.col("rep").alias("right")).limit(0)
 
 
+def _with_least(df: DataFrame, keys: list[str], value: Column, salts: int = 32) -> DataFrame:
+    """Add ``_m``, the least ``value`` of each class, null keys counting as equal; a class is cut by a hash of its rows, so none meets in one task."""
+    cls = F.struct(*[F.col(k) for k in keys])
+    cut = df.withColumns({"_v": value, "_cls": cls}).withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)))
+    low = cut.groupBy("_cls", "_salt").agg(F.min("_v").alias("_m")).groupBy("_cls").agg(F.min("_m").alias("_m"), F.collect_list("_salt").alias("_salts"))
+    return cut.join(low.select("_cls", "_m", F.explode("_salts").alias("_salt")), ["_cls", "_salt"]).drop("_cls", "_salt")
+
+
 def copy_links(df: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
     """One row (left = representative, right = copy) per photo that shares all keys with an earlier one."""
-    reps = df.groupBy(*keys).agg(F.min(id_col).alias("left"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return df.select(*keys, F.col(id_col).alias("right")).join(reps, keys).where("right <> left").select("left", "right")
+    return _with_least(df.select(*keys, id_col), keys, F.col(id_col)).where("_v <> _m").select(F.col("_m").alias("left"), F.col("_v").alias("right"))
 
 
 def instants(ctx: DataFrame, keys: list[str], t: str = "t", id_col: str = "id") -> DataFrame:
@@ -249,6 +256,76 @@ def with_distances(pairs: DataFrame, hashes: DataFrame, id_col: str = "id") -> D
     return both.withColumn("dhash", hamming(F.col("_dl"), F.col("_dr"))).withColumn("phash", hamming(F.col("_pl"), F.col("_pr"))).drop("_dl", "_pl", "_dr", "_pr")
 
 
+VISUAL, TIMED = "visual_hash", "same_camera_capture"
+
+
+def joint_classes(photos: DataFrame, keys: list[str], t: str = "t", id_col: str = "id") -> DataFrame:
+    """(d, p, keys.., at, rep, n): photos with equal codes, camera and instant, which no rule can tell apart. Photos without an instant are left out."""
+    timed = photos.where(F.col(t).isNotNull() & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True)))
+    return timed.groupBy("d", "p", *keys, F.unix_micros(t).alias("at")).agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n"))
+
+
+def both_pairs(photos: DataFrame, keys: list[str], d: int = 4, p: int = 8, bits: int = 64, gap_seconds: float = 3.0, t: str = "t", id_col: str = "id") -> DataFrame:
+    """(left, right, n_left, n_right): pairs of joint classes near by hash and by time.
+
+    They meet by camera, time bin and a run of bits on which codes within the limit agree, so a burst is compared with
+    what looks alike only. A pair is kept under its first agreeing run.
+    """
+    gap = int(gap_seconds * 1_000_000)
+    runs = bit_runs((1 << bits) - 1, d)
+    run = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m)).cast("long").alias("m")) for i, m in enumerate(runs)]))
+    points = joint_classes(photos, keys, t, id_col).withColumn("_c", run).select("*", F.col("_c.i").alias("_run"), F.col("d").bitwiseAND(F.col("_c.m")).alias("_key")).drop("_c")
+    slot = F.floor(F.col("at") / gap).cast("long") if gap else F.col("at")
+    side = lambda s, bins: points.select(*keys, bins.alias("_bin"), "_run", "_key", *[F.col(c).alias(f"{c}_{s}") for c in ("d", "p", "at", "rep", "n")])
+    met = side("l", F.explode(F.array(slot, slot + 1))).join(side("r", slot), [*keys, "_bin", "_run", "_key"])
+    later = F.col("at_r") - F.col("at_l")
+    dd, pp = F.col("d_l").bitwiseXOR(F.col("d_r")), F.col("p_l").bitwiseXOR(F.col("p_r"))
+    first = reduce(lambda rest, i: F.when(dd.bitwiseAND(F.lit(_signed(runs[i])).cast("long")) == 0, i).otherwise(rest), range(len(runs) - 1, -1, -1), F.lit(None).cast("int"))
+    kept = met.where(((later > 0) & (later <= gap) | (later == 0) & (F.col("rep_l") < F.col("rep_r"))) & (F.bit_count(dd) <= d) & (F.bit_count(pp) <= p) & (F.col("_run") == first))
+    return kept.select(F.col("rep_l").alias("left"), F.col("rep_r").alias("right"), F.col("n_l").alias("n_left"), F.col("n_r").alias("n_right"))
+
+
+def related_pairs(photos: DataFrame, keys: list[str], d: int = 4, p: int = 8, bits: int = 64, gap_seconds: float = 3.0, t: str = "t", id_col: str = "id") -> DataFrame:
+    """(left, right, dhash, phash, reasons): proposals by hash and by time as one row per pair of photos with every reason that holds.
+
+    ``photos``: (id, d, p, keys.., t), t and keys null where unknown. Classes of equal codes, of equal camera and
+    instant, and of both at once are mapped to their least photo before anything is merged: class pairs and links
+    of the copies to that photo describe all pairs of photos without expanding copies, and pairs that are near in both
+    ways are rows of their own. Reasons and distances are read from the two photos of a row, not from the rule that proposed it.
+    """
+    base = photos.select(F.col(id_col).alias("id"), "d", "p", *keys, t)
+    one = F.struct("id", "d", "p", *keys, t)
+    pair = lambda df, left, right: df.select(left.alias("a"), right.alias("b"))
+    copies = []
+    for cls, rows in ((["d", "p"], base), ([*keys, t], base.where(F.col(t).isNotNull())), (["d", "p", *keys, t], base.where(F.col(t).isNotNull()))):
+        known = reduce(lambda x, k: x.where(F.col(k).isNotNull()), [k for k in cls if k in keys], rows)
+        copies.append(pair(_with_least(known, cls, one).where("_v.id <> _m.id"), F.col("_m"), F.col("_v")))
+    links = reduce(DataFrame.unionByName, [x.select("left", "right") for x in (
+        near_dup_pairs(base, d, p, bits), burst_pairs(base, keys, gap_seconds, t), both_pairs(base, keys, d, p, bits, gap_seconds, t))])
+    who = base.select("id", one.alias("_s"))
+    found = links.join(who.select(F.col("id").alias("left"), F.col("_s").alias("a")), "left").join(who.select(F.col("id").alias("right"), F.col("_s").alias("b")), "right")
+    every = reduce(DataFrame.unionByName, copies, found.select("a", "b"))
+    turn = F.col("a.id") < F.col("b.id")
+    rows = every.select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("b"))
+    once = rows.groupBy(F.col("a.id").alias("left"), F.col("b.id").alias("right")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    dh, ph = hamming(F.col("a.d"), F.col("b.d")), hamming(F.col("a.p"), F.col("b.p"))
+    same = reduce(lambda x, k: x & (F.col(f"a.{k}") == F.col(f"b.{k}")), keys, F.lit(True))
+    timed = same & (F.abs(F.unix_micros(F.col(f"a.{t}")) - F.unix_micros(F.col(f"b.{t}"))) <= int(gap_seconds * 1_000_000))
+    reasons = F.array_compact(F.array(F.when(timed, F.lit(TIMED)), F.when((dh <= d) & (ph <= p), F.lit(VISUAL))))
+    return once.select("left", "right", dh.alias("dhash"), ph.alias("phash"), reasons.alias("reasons"))
+
+
+def related_counts(photos: DataFrame, keys: list[str], d: int = 4, p: int = 8, bits: int = 64, gap_seconds: float = 3.0, t: str = "t", id_col: str = "id") -> DataFrame:
+    """One row (visual_only, timed_only, both): how many pairs of photos each set of reasons holds for, from the sizes of the classes."""
+    across = lambda pairs: pairs.agg(F.coalesce(F.sum(F.col("n_left") * F.col("n_right")), F.lit(0)).cast("long").alias("n")).scalar()
+    inside = lambda classes: classes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("n")).scalar()
+    known = photos.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True)))
+    visual = across(near_dup_pairs(photos, d, p, bits, id_col=id_col)) + inside(hash_codes(photos, id_col))
+    timed = across(burst_pairs(known, keys, gap_seconds, t, id_col)) + inside(instants(known, keys, t, id_col))
+    both = across(both_pairs(photos, keys, d, p, bits, gap_seconds, t, id_col)) + inside(joint_classes(photos, keys, t, id_col))
+    return photos.sparkSession.range(1).select((visual - both).alias("visual_only"), (timed - both).alias("timed_only"), both.alias("both"))
+
+
 def merge_branches(pairs: DataFrame) -> DataFrame:
     """Rows (branch, left, right, dhash, phash) to one row per pair with a branch -> scores map."""
     entry = F.struct(F.col("branch"), F.struct("dhash", "phash"))

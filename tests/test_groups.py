@@ -109,6 +109,50 @@ def test_time_and_visual_proposals(spark):
     assert got == {(0, 1): (0, ["visual_hash"]), (0, 2): (64, ["capture"])}
 
 
+def test_every_photo_pair_has_its_reasons(spark):
+    """Brute force over all pairs of photos: each is described by a row of its classes with exactly its reasons."""
+    rng = random.Random(14)
+    looks = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(4)]
+    rows = []
+    for i in range(160):
+        d, p = looks[0 if i % 3 == 0 else rng.randrange(4)]
+        if rng.random() < 0.5:
+            d ^= 1 << rng.randrange(3)
+        camera, us = rng.choice([("a", rng.randrange(12) * 900_000), ("b", rng.randrange(40) * 900_000), ("a", None), (None, 5)])
+        rows.append((i, signed(d), signed(p), camera, us))
+    df = spark.createDataFrame(rows, "id long, d long, p long, camera string, us long").withColumn("t", F.timestamp_micros("us"))
+    got = {(r["left"], r["right"]): set(r["reasons"]) for r in P.related_pairs(df, ["camera"]).collect()}
+    code, moment, joint = {}, {}, {}
+    for i, d, p, c, us in rows:
+        code.setdefault((d, p), i)
+        if c is not None and us is not None:
+            moment.setdefault((c, us), i), joint.setdefault((d, p, c, us), i)
+
+    def described(a, b, reason):
+        a, b = sorted((a, b))
+        return a == b or reason <= got.get((a, b), set())
+
+    counts = {"visual_only": 0, "timed_only": 0, "both": 0}
+    for x in rows:
+        for y in rows[:x[0]]:
+            visual = bits(x[1] ^ y[1]) <= 4 and bits(x[2] ^ y[2]) <= 8
+            timed = x[3] is not None and x[3] == y[3] and None not in (x[4], y[4]) and abs(x[4] - y[4]) <= 3_000_000
+            if visual and timed:
+                counts["both"] += 1
+                assert described(joint[x[1:]], joint[y[1:]], {P.VISUAL, P.TIMED})
+            elif visual:
+                counts["visual_only"] += 1
+            elif timed:
+                counts["timed_only"] += 1
+            if visual:
+                assert described(code[x[1:3]], code[y[1:3]], {P.VISUAL})
+            if timed:
+                assert described(moment[x[3:]], moment[y[3:]], {P.TIMED})
+            pair = got.get((y[0], x[0]))
+            assert pair is None or pair == ({P.VISUAL} if visual else set()) | ({P.TIMED} if timed else set())
+    assert P.related_counts(df, ["camera"]).first().asDict() == counts and min(counts.values()) > 0 and all(got.values())
+
+
 def test_bursts_equal_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, "hot" if i % 3 == 0 else f"c{i % 4}", rng.randrange(400) * 500_000 - 50_000_000) for i in range(500)]
