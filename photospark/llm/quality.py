@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from photospark.llm import kernels as K
 from photospark.llm.stage import Stage
@@ -221,3 +223,27 @@ def judge(docs: DataFrame, labels: DataFrame, stage: Stage, id_col: str = "doc_i
     threshold = calibrate(scored, labels, id_col)
     return scored.select(id_col, *COUNTS, "base_failed", "anomaly", F.lit(threshold).alias("threshold"),
                          (~F.col("base_failed") & (F.col("anomaly") <= threshold)).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, stage: Stage, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns, whatever their ids are.
+
+    Forest and threshold come from the table of statistics as in ``judge``; then the text of every row is measured where
+    it is read, so the verdict stays with the row: rows that share an id, and rows without one, are judged each by their own text,
+    and no text is shuffled. Columns must not be named like the statistics.
+    """
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    stats = stage.write(with_features(rule_statistics(docs, id_col)).withColumn("base_failed", failed), "statistics")
+    trees = fit_forest(stats.where("NOT base_failed"), id_col)
+    threshold = calibrate(with_score(stats, trees), labels, id_col)
+    stage.drop("statistics")
+    names = [*docs.columns, *COUNTS, *EXTRA]
+
+    def measure(batches):
+        for batch in batches:
+            own = statistics_of(batch.column(batch.schema.get_field_index("text")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(own[c]) for c in COUNTS + EXTRA]], names=names)
+
+    schema = reduce(lambda s, c: s.add(c, "long"), COUNTS + EXTRA, StructType(list(docs.schema.fields)))
+    passed = with_features(docs.mapInArrow(measure, schema)).where(~failed)
+    return with_score(passed, trees).where(F.col("anomaly") <= threshold).select(*docs.columns)

@@ -141,9 +141,21 @@ def test_odd_tables_go_through_the_pipeline(spark, tmp_path):
         assert {r["doc_id"] for r in docs.collect()} == ({4} if rows else set())
 
 
+def test_verdicts_follow_rows_not_ids(spark, tmp_path):
+    good = [" ".join(f"{w}{i}" for i in range(150)) for w in ("alpha", "beta", "gamma")]
+    rows = [(1, good[0]), (1, "bad"), (None, "bad"), (None, "x"), (2, good[1]), (None, good[2]), (None, good[2]), (2, good[1]), (9, good[2] + " end"), (None, good[0] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    for table in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        kept = corpus_pipeline.quality_rules(spark, table, PATH)
+        assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if len(r["text"]) > 9)
+        once = corpus_pipeline.near_dedup(spark, kept, PATH)
+        assert sorted(tuple(r) for r in once.collect()) == [(1, good[0]), (2, good[1]), (9, good[2] + " end")]
+
+
 def test_registration():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
