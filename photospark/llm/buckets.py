@@ -37,6 +37,7 @@ def link(members: DataFrame, near: Callable[[str, str], Column], apart: Callable
     closest = beside.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct(apart("c.p", "p").alias("d"), F.col("c.node").alias("u")))), 1, FIRST).alias("us"))
     first = closest.select("node", F.explode("us.u").alias("u")).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
     edges = verify(stage.write(first, "first"), "v0")
+    stage.drop("first")
     # a bucket of two whose pair isn't near holds no link
     waiting, turn = stage.write(held.join(ends.where((F.col("n") > 2) | near("a.p", "z.p")).select("key"), "key"), "waiting0"), 0
     stage.drop("crowded", "ends", "held")
@@ -59,9 +60,10 @@ def link(members: DataFrame, near: Callable[[str, str], Column], apart: Callable
             F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
         found = verify(stage.write(pairs, f"pairs{turn}"), f"v{turn}")
         edges = stage.write(edges.unionByName(found), f"edges{turn}")
+        stage.drop(f"v{turn}", f"v{turn - 1}", f"edges{turn - 1}", f"pairs{turn}")
         groups = components(edges, stage, f"groups{turn}-")
         if left["most"] <= CENTRES:
             return groups
         over = live.where(F.col("minor") > CENTRES).select("key", "node", "p")
         waiting = stage.write(over.join(centres.select("key", F.col("u").alias("node")), ["key", "node"], "left_anti"), f"waiting{turn}")
-        stage.drop(f"now{turn}", f"mixed{turn}", f"live{turn}", f"pairs{turn}", f"waiting{turn - 1}")
+        stage.drop(f"now{turn}", f"mixed{turn}", f"live{turn}", f"centres{turn}", f"waiting{turn - 1}")

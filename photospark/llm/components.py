@@ -15,13 +15,12 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
     cut by hash (``with_group_min``), every round is written to the shared folder, and the rounds end by the
     state of the links alone.
     """
-    star = stage.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}0")
-    before, turn = _state(star), 0
-    while before[0]:
+    star, before = _written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), stage, f"{name}0")
+    turn = 0
+    while before["n"]:
         turn += 1
-        new = stage.write(_inward(_outward(star)), f"{name}{turn}")
+        star, after = _written(_inward(_outward(star)), stage, f"{name}{turn}")
         stage.drop(f"{name}{turn - 1}")
-        star, after = new, _state(new)
         if after == before:
             break
         before = after
@@ -41,6 +40,6 @@ def _inward(star: DataFrame) -> DataFrame:
     return low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.where("v = m").select("u", "v")).distinct()
 
 
-def _state(star: DataFrame) -> tuple:
-    row = star.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"), F.sum((F.col("v")).cast("decimal(38,0)")).alias("s")).first()
-    return tuple(row)
+def _written(star: DataFrame, stage: Stage, name: str) -> tuple[DataFrame, dict]:
+    """The links written, with their number and sums that tell one set of links from another."""
+    return stage.write_measured(star, name, n=F.count(F.lit(1)), h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), s=F.sum(F.col("v").cast("decimal(38,0)")))

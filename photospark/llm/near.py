@@ -121,7 +121,9 @@ def near_duplicates(docs: DataFrame, stage: Stage, percent: int = 75) -> DataFra
     id are linked with nothing (component_id null, kept). Rows that repeat an
     id with another text are nodes of their own under that id; rows repeated as a whole all stay or all go. Other columns are ignored; no rows give no rows.
     """
+    outer, stage = stage, stage.inner("links")
     prints = stage.write(fingerprints(docs), "prints")
+    own = outer.write(prints.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "own")
     named = prints.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = stage.write(named.groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("node", "doc_id", "n", "s.*"), "nodes")
@@ -153,8 +155,8 @@ def near_duplicates(docs: DataFrame, stage: Stage, percent: int = 75) -> DataFra
     groups = link(members, near, apart, verify, stage, nodes.select("node", "bands", F.col("sketch").alias("q")), alike)
     least = nodes.join(groups, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     linked = nodes.join(groups, "node").join(least, "root").select("node", "least")
-    classes = stage.write(nodes.select("node", "doc_id").join(linked, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id")), "classes")
-    own = prints.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    classes = outer.write(nodes.select("node", "doc_id").join(linked, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id")), "classes")
+    stage.clear()
     return own.join(classes, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

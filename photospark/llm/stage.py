@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import copy
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from photospark.session import ensure_checkpoint_dir
@@ -29,6 +30,22 @@ class Stage:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_measured(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+        """``write`` and the given aggregates of the written rows, in one job."""
+        seen = Observation()
+        return self.write(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name), seen.get
+
+    def inner(self, name: str) -> Stage:
+        """A stage below this one, for tables that go together with ``clear``."""
+        own = copy.copy(self)
+        own.root = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        return own
+
+    def clear(self) -> None:
+        """Remove all tables; nothing may read them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
