@@ -383,12 +383,12 @@ def _(v):
 
 RULES = [("lower_mae", "mae", "<=", "constant", 1.0, 0.0), ("rmse_within_110pct", "rmse", "<=", "constant", 1.1, 0.0), ("mae_below_limit", "mae", "<=", None, 0.0, 5.0)]
 LABELLED = ERRORS + """,
-    lab AS (SELECT model AS label, 'mae' AS metric, avg(abs(raw_error)) AS value FROM errors WHERE parameter = 'Exposure' GROUP BY model
-      UNION ALL SELECT model, 'rmse', sqrt(avg(raw_error * raw_error)) FROM errors WHERE parameter = 'Exposure' GROUP BY model)"""
+    lab AS (SELECT model AS label, 'mae' AS metric, avg(abs(raw_error)) AS value FROM errors GROUP BY model
+      UNION ALL SELECT model, 'rmse', sqrt(avg(raw_error * raw_error)) FROM errors GROUP BY model)"""
 
 
 def labelled(v):
-    m = M.regression_metrics(errors(v).where("parameter = 'Exposure'"), ["model"])
+    m = M.regression_metrics(errors(v).withColumn("parameter", F.lit("all")), ["model"])
     return m.select(F.col("model").alias("label"), F.expr("stack(2, 'mae', mae, 'rmse', rmse) AS (metric, value)"))
 
 

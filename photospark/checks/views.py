@@ -66,7 +66,7 @@ VIEWS: dict[str, str] = {
                avg(l_extendedprice) AS x3
         FROM {lineitem} GROUP BY l_orderkey""",
     "tags": """
-        SELECT DISTINCT l_orderkey AS photo, l_returnflag AS tag FROM {lineitem} WHERE l_linestatus = 'F'""",
+        SELECT DISTINCT l_orderkey AS photo, l_returnflag AS tag FROM {lineitem}""",
     # catalog tables
     "cat_collection": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM {nation}",
     "cat_collection_image": "SELECT CAST(c_nationkey AS BIGINT) AS collection, c_custkey AS image FROM {customer}",

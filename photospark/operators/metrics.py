@@ -292,8 +292,3 @@ def repeat_difference(rows: DataFrame, keys: list[str], run: str, value: str) ->
     """Largest difference between repeated passes of the same item."""
     spread = rows.groupBy(*keys).agg((F.max(value) - F.min(value)).alias("_d"), F.count(F.lit(1)).alias("_n"))
     return spread.agg(F.max("_d").alias("max_difference"), F.min("_n").alias("min_runs"), F.max("_n").alias("max_runs"))
-
-
-def image_error(mse: Column) -> Column:
-    """PSNR of a mean squared error."""
-    return psnr(mse)

@@ -97,11 +97,6 @@ def scrape_listing(pages: DataFrame, row_re: str, fields: dict[str, str], html:
     )
 
 
-def finite_rows(df: DataFrame, value: str = "value") -> DataFrame:
-    """Rows whose value is a finite number."""
-    return df.where(finite(F.col(value)))
-
-
 def in_bounds(parameter: str, value: Column) -> Column:
     """Inclusive contract range of a named parameter."""
     return finite(value) & value.between(bound(parameter, "lo"), bound(parameter, "hi"))

@@ -83,8 +83,3 @@ def archive_members(files: DataFrame) -> DataFrame:
     listed = files.mapInPandas(members, "archive string, member string, branch string, bytes long, sha256 string")
     counted = listed.groupBy("archive", "member").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in ("branch", "bytes", "sha256")])
     return require(counted, F.col("_n") == 1, "duplicate path inside an archive").drop("_n")
-
-
-def ledger_schema() -> T.StructType:
-    """The ledger columns as a StructType."""
-    return T.StructType.fromDDL(LEDGER_COLUMNS)

@@ -1,8 +1,10 @@
 """Manifests, triage, accounting, incremental runs, sinks, splits and gates: what must be refused is refused."""
 
+import hashlib
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +176,23 @@ def test_bootstrap_of_equal_gains_is_exact(spark):
     assert abs(row["low"] - 0.1) < 1e-9 and abs(row["high"] - 0.1) < 1e-9
 
 
+def test_bootstrap_picks_are_dealt_in_two_levels(spark):
+    """Every draw takes as many groups as there are; the interval equals one from picks made by hand."""
+    groups, draws, seed, width = 23, 40, 5, 4
+    pick = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    dealt = {(r["draw"], r["bucket"]): r["picks"] for r in G.bucket_draws(spark, groups, draws, seed, width).collect()}
+    assert all(sum(n for (d, _), n in dealt.items() if d == draw) == groups for draw in range(draws)) and len(dealt) <= draws * 6
+    sums = [(1.0 + k, 0.5 + k * 0.9) for k in range(groups)]
+    gains = []
+    for draw in range(draws):
+        mine = [b * width + pick(f"{seed}-{draw}-{b}-{j}") % min(width, groups - b * width) for (d, b), n in dealt.items() if d == draw for j in range(1, n + 1)]
+        assert len(mine) == groups and max(mine) < groups
+        gains.append(1 - sum(sums[k][1] for k in mine) / sum(sums[k][0] for k in mine))
+    e = spark.createDataFrame([(f"g{k:02d}", a / 2, b / 2) for k, (a, b) in enumerate(sums) for _ in range(2)], "group_id string, control double, candidate double")
+    row = G.paired_bootstrap(e, draws, seed, width=width).first()
+    assert [row["low"], row["high"]] == pytest.approx(np.quantile(gains, [0.025, 0.975]).tolist())
+
+
 def test_a_failed_replacement_leaves_the_old_data(spark, tmp_path):
     path = str(tmp_path / "table")
     K.write_atomic(spark.range(5), path)
