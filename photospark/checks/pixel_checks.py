@@ -6,6 +6,7 @@ from photospark.checks.registry import check
 from photospark.functions import color as K
 from photospark.operators import adjust as A
 from photospark.operators import features as E
+from photospark.operators import tiles as T
 
 
 def d(c):
@@ -54,12 +55,21 @@ BOTH = "bp AS (SELECT p.*, q.r AS adj_r, q.g AS adj_g, q.b AS adj_b FROM pixels
 DIMB = "bp AS (SELECT p.*, q.r AS adj_r, q.g AS adj_g, q.b AS adj_b FROM dim p JOIN proposal q USING (photo, y, x))"
 
 
+def seen(v, name="pixels", *settings):
+    """Pixel rows of a view's tiles with per-photo settings beside them."""
+    return T.pixels_of(T.with_settings(v.tiles(name), *settings))
+
+
 def lab(v):
-    return v.pixels.select("photo", "y", "x", (F.col("r").cast("double") * 110 / 255).alias("L"), ((F.col("g").cast("double") - 128) * 1.2).alias("a"), (F.col("b").cast("double") - 128).alias("b"))
+    return seen(v).select("photo", "y", "x", "h", "w", (F.col("r").cast("double") * 110 / 255).alias("L"), ((F.col("g").cast("double") - 128) * 1.2).alias("a"), (F.col("b").cast("double") - 128).alias("b"))
+
+
+def pair(v, name="pixels"):
+    return T.with_second(v.tiles(name), v.tiles("proposal"))
 
 
-def both(v):
-    return E.join_pixels(v.pixels, v.proposal)
+def both(v, name="pixels", prefix="adj_"):
+    return T.pixels_of(pair(v, name), adj=prefix)
 
 
 def text(df, key="photo", col="x"):
@@ -76,18 +86,18 @@ def _(v):
 
 @check("s17_sample_grid", "SELECT photo, y, x, r FROM pixels WHERE y % 2 = 0 AND x % 2 = 0", views="pixels")
 def _(v):
-    return E.sample_grid(v.pixels, edge=4).select("photo", "y", "x", "r")
+    return E.sample_grid(seen(v), edge=4).select("photo", "y", "x", "r")
 
 
 @check("x12_area_resize", "SELECT photo, CAST(floor(y / 4) AS INT) AS y, CAST(floor(x / 4) AS INT) AS x, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM pixels GROUP BY 1, 2, 3", views="pixels", doubles="r g b")
 def _(v):
-    return E.area_resize(v.pixels, 2)
+    return E.area_resize(seen(v), 2)
 
 
 @check("x11_patches", """SELECT photo, patch, CAST(y - py AS INT) AS y, CAST(x - px AS INT) AS x, r, g, b FROM pixels, (VALUES (0, 0, 0), (1, 0, 5), (2, 5, 0), (3, 5, 5), (4, 2, 2)) s(patch, py, px)
     WHERE y >= py AND y < py + 3 AND x >= px AND x < px + 3""", views="pixels")
 def _(v):
-    return E.patches(v.pixels, 3)
+    return E.patches(seen(v), 3)
 
 
 # ------------------------------------------------------------------ lab features
@@ -147,7 +157,7 @@ def _(v):
       quantile_cont(l, 0.5) AS a8, quantile_cont(l, 0.75) AS a9, quantile_cont(l, 0.9) AS a10, {", ".join(f"avg(CASE WHEN least(7, floor({clip('l')} * 8)) = {i} THEN 1.0 ELSE 0.0 END) AS a{11 + i}" for i in range(8))} FROM q GROUP BY photo)
     SELECT photo, CAST(pos AS INT) AS pos, v FROM (SELECT photo, unnest([{", ".join(f"a{i}" for i in range(19))}]) AS v, unnest(range(19)) AS pos FROM s) e""", views="pixels", doubles="v")
 def _(v):
-    return text(E.features_19(v.pixels))
+    return text(E.features_19(seen(v)))
 
 
 RECIPE = f"""rec AS (SELECT photo, quantile_cont(l, 0.5) AS median, quantile_cont(l, 0.95) AS p95 FROM (SELECT photo, {lum(lin(u('r')), lin(u('g')), lin(u('b')))} AS l FROM dim) q GROUP BY photo),
@@ -156,7 +166,7 @@ RECIPE = f"""rec AS (SELECT photo, quantile_cont(l, 0.5) AS median, quantile_con
 
 @check("a14_select_recipe", f"WITH {RECIPE} SELECT * FROM recipes", views="dim", doubles="median p95")
 def _(v):
-    return E.select_recipe(v.dim)
+    return E.select_recipe(seen(v, "dim"))
 
 
 def moved_sql():
@@ -178,7 +188,7 @@ SHADOW = f"""sh AS (SELECT photo, quantile_cont(l, 0.3) AS luma_q30, avg(CASE WH
 
 @check("a16_shadow_settings", f"WITH {SHADOW} SELECT * FROM shadow", views="dim", doubles="luma_q30 shadow_fraction suggested_strength")
 def _(v):
-    return E.shadow_settings(v.dim)
+    return E.shadow_settings(seen(v, "dim"))
 
 
 def codes(p=""):
@@ -187,7 +197,7 @@ def codes(p=""):
 
 @check("a49_luma_summary", f"SELECT photo, avg(l) AS luma_mean, quantile_cont(l, 0.1) AS q10, quantile_cont(l, 0.3) AS q30, quantile_cont(l, 0.9) AS q90 FROM (SELECT photo, {codes()} AS l FROM pixels) q GROUP BY photo", views="pixels", doubles="luma_mean q10 q30 q90")
 def _(v):
-    return E.luma_summary(E.sample_grid(v.pixels, 512))
+    return E.luma_summary(E.sample_grid(seen(v), 512))
 
 
 @check("a49_mean_change", f"WITH {BOTH} SELECT photo, (avg(abs(adj_r - r)) + avg(abs(adj_g - g)) + avg(abs(adj_b - b))) / 3 AS mean_change FROM bp GROUP BY photo", views="pixels proposal", doubles="mean_change")
@@ -198,14 +208,14 @@ def _(v):
 @check("a47_region_stats", f"""SELECT photo, region, avg(l) AS luma_mean, quantile_cont(l, 0.5) AS luma_median FROM (SELECT photo, region, {codes()} AS l FROM pixels,
     (VALUES ('sky', 0, 0.5, 0, 1), ('center', 0.25, 0.75, 0.25, 0.75)) b(region, y0, y1, x0, x1) WHERE y / CAST(8 AS DOUBLE) >= y0 AND y / CAST(8 AS DOUBLE) < y1 AND x / CAST(8 AS DOUBLE) >= x0 AND x / CAST(8 AS DOUBLE) < x1) q GROUP BY photo, region""", views="pixels", doubles="luma_mean luma_median")
 def _(v):
-    return E.region_stats(v.pixels, [("sky", 0, 0.5, 0, 1), ("center", 0.25, 0.75, 0.25, 0.75)])
+    return E.region_stats(seen(v), [("sky", 0, 0.5, 0, 1), ("center", 0.25, 0.75, 0.25, 0.75)])
 
 
 @check("a48_dark_stats", f"""WITH {DIMB} SELECT photo, coalesce(avg(k), -1) AS dark_mean, coalesce(stddev_pop(k), -1) AS dark_std, coalesce(quantile_cont(k, 0.05), -1) AS dark_p05, coalesce(avg(m), -1) AS dim_rgb_mean FROM (
     SELECT photo, CASE WHEN {codes()} < 40 THEN {codes('adj_')} END AS k, CASE WHEN greatest({u('r')}, {u('g')}, {u('b')}) < 0.3 THEN (adj_r + adj_g + adj_b) / CAST(3 AS DOUBLE) END AS m FROM bp) q GROUP BY photo""",
        views="dim proposal", doubles="dark_mean dark_std dark_p05 dim_rgb_mean")
 def _(v):
-    return E.dark_stats(E.join_pixels(v.dim, v.proposal)).fillna(-1.0)
+    return E.dark_stats(both(v, "dim")).fillna(-1.0)
 
 
 # ------------------------------------------------------------------ image errors
@@ -214,7 +224,7 @@ TRI = """tri AS (SELECT p.photo, p.y, p.x, p.r AS src_r, p.g AS src_g, p.b AS sr
 
 
 def triple(v):
-    j = E.join_pixels(v.dim, v.proposal)
+    j = both(v, "dim")
     return j.select("photo", "y", "x", *[F.col(c).alias("src_" + c) for c in "rgb"], *[F.col("adj_" + c).alias("out_" + c) for c in "rgb"],
                     F.col("g").alias("ref_r"), F.col("b").alias("ref_g"), F.col("r").alias("ref_b"))
 
@@ -350,8 +360,8 @@ TONE_BASE = f"tb AS (SELECT photo, y, x, {lin(u('r'))} AS r, {lin(u('g'))} AS g,
     t3 AS (SELECT *, least(t, 0.8) + greatest(t - 0.8, 0) / (1 + rec / 100 * greatest(t - 0.8, 0) / 0.2) AS t9 FROM t2)
     SELECT photo, y, x, {clip('r * k')} AS r, {clip('g * k')} AS g, {clip('b * k')} AS b FROM (SELECT *, CASE WHEN peak > 0 THEN t9 / peak ELSE 1 END AS k FROM t3) q""", views="pixels photo_params", doubles="r g b")
 def _(v):
-    linear = v.pixels.select("photo", "y", "x", *[K.to_linear(E.unit(c)).alias(c) for c in "rgb"])
-    return A.apply_tone(linear, v.photo_params)
+    rows = seen(v, "pixels", v.photo_params)
+    return A.apply_tone(rows.select("photo", "y", "x", "exposure", "recovery", "strength", *[K.to_linear(E.unit(c)).alias(c) for c in "rgb"]))
 
 
 TOP = "CASE WHEN greatest(r, g, b) = 255 THEN 1 ELSE CAST(254 AS DOUBLE) / 255 END"
@@ -373,8 +383,7 @@ def protect_sql(src, cs="color_strength", tl="tone_lift"):
 
 @check("x2_protect_color", f"WITH {BOTH}, {SETTINGS}, bs AS (SELECT bp.*, color_strength, tone_lift FROM bp JOIN settings USING (photo)), {protect_sql('bs')} SELECT * FROM protected", views="pixels proposal")
 def _(v):
-    b = both(v)
-    return A.protect_color(b, E.natural_settings(b))
+    return T.protect_tiles(pair(v))
 
 
 GUARD = f"""guard AS (SELECT photo, count(*) FILTER (WHERE greatest(out_r, out_g, out_b) = 0 AND greatest(r, g, b) > 0) AS new_black, count(*) FILTER (WHERE greatest(out_r, out_g, out_b) = 255 AND greatest(r, g, b) < 255) AS new_full,
@@ -383,7 +392,7 @@ GUARD = f"""guard AS (SELECT photo, count(*) FILTER (WHERE greatest(out_r, out_g
 
 @check("a38_endpoint_guard", "WITH pg AS (SELECT p.*, q.r AS out_r, q.g AS out_g, q.b AS out_b FROM dim p JOIN proposal q USING (photo, y, x)), " + GUARD.format(src="pg") + " SELECT *, new_black = 0 AND new_full = 0 AND shadow_delta >= -0.501 AS accepted FROM guard", views="dim proposal", doubles="shadow_delta")
 def _(v):
-    j = E.join_pixels(v.dim, v.proposal, "out_")
+    j = both(v, "dim", "out_")
     return A.endpoint_guard(j)
 
 
@@ -394,7 +403,7 @@ def lift_sql(src, s="strength"):
 
 @check("x3_lift_shadows", f"WITH dp AS (SELECT dim.*, strength FROM dim JOIN photo_params USING (photo)), {lift_sql('dp')} SELECT * FROM lifted", views="dim photo_params")
 def _(v):
-    return A.lift_shadows(v.dim, v.photo_params)
+    return A.lift_shadows(seen(v, "dim", v.photo_params.select("photo", "strength")).drop("h", "w")).drop("strength")
 
 
 def coef_value(t, i):
@@ -427,12 +436,12 @@ def wb_sql(tint):
 
 @check("x4_apply_wb", f"WITH {wb_sql(False)} SELECT * FROM wb", views="pixels")
 def _(v):
-    return A.apply_wb(v.pixels, coefs(v))
+    return A.apply_wb(seen(v, "pixels", coefs(v)))
 
 
 @check("x4_apply_wb_tint", f"WITH {wb_sql(True)} SELECT * FROM wb", views="pixels")
 def _(v):
-    return A.apply_wb(v.pixels, coefs(v), tint_only=True)
+    return A.apply_wb(seen(v, "pixels", coefs(v)), tint_only=True)
 
 
 WBGUARD = """SELECT photo, count(*) FILTER (WHERE greatest(out_r, out_g, out_b) = 0 AND greatest(r, g, b) > 0) AS new_black, count(*) FILTER (WHERE greatest(out_r, out_g, out_b) = 255 AND greatest(r, g, b) < 255) AS new_full,
@@ -441,7 +450,7 @@ WBGUARD = """SELECT photo, count(*) FILTER (WHERE greatest(out_r, out_g, out_b)
 
 @check("x4_wb_guard", f"WITH {wb_sql(False)} SELECT *, new_black = 0 AND new_full = 0 AND luma_change <= 0.501 AND channel_change <= 10.501 AS accepted FROM ({WBGUARD}) q", views="pixels", doubles="luma_change channel_change")
 def _(v):
-    return A.wb_guard(A.apply_wb(v.pixels, coefs(v)))
+    return A.wb_guard(A.apply_wb(seen(v, "pixels", coefs(v))))
 
 
 def neutral_sql(src):
@@ -460,7 +469,7 @@ def neutral_sql(src):
 
 @check("a39_neutral_evidence", f"WITH {wb_sql(False)}, {neutral_sql('wb')} SELECT * FROM neutral", views="pixels", doubles="before after length")
 def _(v):
-    return A.neutral_evidence(E.with_dims(A.apply_wb(v.pixels, coefs(v))), 16, 0.02, 4).fillna(-1.0, ["before", "after", "length"])
+    return A.neutral_evidence(A.apply_wb(seen(v, "pixels", coefs(v)), keep=("h", "w")), 16, 0.02, 4).fillna(-1.0, ["before", "after", "length"])
 
 
 @check("x6_natural_adjust", f"""
@@ -471,7 +480,7 @@ def _(v):
     SELECT photo, y, x, CASE WHEN ok THEN out_r ELSE r END AS r, CASE WHEN ok THEN out_g ELSE g END AS g, CASE WHEN ok THEN out_b ELSE b END AS b FROM fin JOIN (SELECT guard.photo, guard.new_black = 0 AND guard.new_full = 0 AND bg.new_black = 0 AND bg.new_full = 0 AND bg.shadow_delta >= -0.501 AS ok FROM guard JOIN bg USING (photo)) o USING (photo)""", views="pixels proposal")
 def _(v):
     limits = v.embeddings.select(F.col("vec_id").alias("photo"), F.lit(0.2).alias("color_strength"), F.lit(0.1).alias("tone_lift"), F.lit(0.5).alias("shadow_strength"))
-    return A.natural_adjust(v.pixels, v.proposal, limits)[0]
+    return T.natural_adjust_tiles(pair(v), limits)[0]
 
 
 @check("x7_blend", f"WITH {BOTH} SELECT photo, y, x, {', '.join(f'CAST(round_even({d(c)} * (1 - CAST(0.3 AS DOUBLE)) + {d('adj_' + c)} * CAST(0.3 AS DOUBLE), 0) AS INT) AS {c}' for c in 'rgb')} FROM bp", views="pixels proposal")
@@ -485,7 +494,7 @@ def curve_sql(value):
 
 @check("x8_apply_curves", f"SELECT photo, y, x, r, g, b, {curve_sql(lambda c: f'(1 - strength) * {u(c)} + strength * least(pow({u(c)}, gamma), 8 * {u(c)})')} FROM pixels JOIN photo_params USING (photo)", views="pixels photo_params")
 def _(v):
-    return A.apply_curves(v.pixels, v.photo_params.select("photo", "gamma", "strength"), "guarded")
+    return A.apply_curves(seen(v, "pixels", v.photo_params.select("photo", "gamma", "strength")), kind="guarded")
 
 
 def peak_value(c):
@@ -496,26 +505,27 @@ def peak_value(c):
 
 @check("x8_apply_peak_curves", f"SELECT photo, y, x, r, g, b, {curve_sql(peak_value)} FROM pixels JOIN photo_params USING (photo)", views="pixels photo_params")
 def _(v):
-    return A.apply_curves(v.pixels, v.photo_params.select("photo", "gamma", "strength", "tint"), "peak")
+    return A.apply_curves(seen(v, "pixels", v.photo_params.select("photo", "gamma", "strength", "tint")), kind="peak")
 
 
 @check("a37_clip_diagnostics", """SELECT photo, avg(CASE WHEN greatest(r, g, b) = 255 THEN 1.0 ELSE 0.0 END) AS before_full, avg(CASE WHEN greatest(out_r, out_g, out_b) = 255 THEN 1.0 ELSE 0.0 END) AS after_full,
     avg(CASE WHEN greatest(out_r, out_g, out_b) = 255 AND greatest(r, g, b) < 255 THEN 1.0 ELSE 0.0 END) AS new_full, avg(CASE WHEN least(r, g, b) = 255 THEN 1.0 ELSE 0.0 END) AS source_white,
     avg(CASE WHEN r <> out_r OR g <> out_g OR b <> out_b THEN 1.0 ELSE 0.0 END) AS changed FROM (SELECT p.*, q.r AS out_r, q.g AS out_g, q.b AS out_b FROM dim p JOIN proposal q USING (photo, y, x)) j GROUP BY photo""", views="dim proposal", doubles="before_full after_full new_full source_white changed")
 def _(v):
-    return A.clip_diagnostics(E.join_pixels(v.dim, v.proposal, "out_"))
+    return A.clip_diagnostics(both(v, "dim", "out_"))
 
 
 @check("x10_recipe_gate", f"""WITH {RECIPE}, nf AS (SELECT p.photo, avg(CASE WHEN greatest(q.r, q.g, q.b) = 255 AND greatest(p.r, p.g, p.b) < 255 THEN 1.0 ELSE 0.0 END) AS new_full FROM dim p JOIN proposal q USING (photo, y, x) GROUP BY p.photo)
     SELECT photo, recipe, CASE WHEN recipe <> 'unchanged' AND new_full > 0.001 THEN 'unchanged' ELSE recipe END AS selected, CASE WHEN recipe <> 'unchanged' AND new_full > 0.001 THEN 'candidate rejected by clipping guard' ELSE '' END AS reason FROM recipes JOIN nf USING (photo)""", views="dim proposal")
 def _(v):
-    diag = A.clip_diagnostics(E.join_pixels(v.dim, v.proposal, "out_"))
-    return A.recipe_gate(E.select_recipe(v.dim), diag).select("photo", "recipe", "selected", "reason")
+    diag = A.clip_diagnostics(both(v, "dim", "out_"))
+    return A.recipe_gate(E.select_recipe(seen(v, "dim")), diag).select("photo", "recipe", "selected", "reason")
 
 
 @check("x13_dark_controls", f"SELECT photo || '_dark_control' AS photo, photo AS parent, y, x, {', '.join(rcode(disp(lin(u(c)) + ' * 0.125')) + f' AS {c}' for c in 'rgb')} FROM pixels WHERE photo IN (SELECT vec_id FROM embeddings WHERE label IN (1, 2))", views="pixels")
 def _(v):
-    return A.dark_controls(v.pixels, v.embeddings.where(F.col("label").isin(1, 2)).select(F.col("vec_id").alias("photo")))
+    chosen = v.embeddings.where(F.col("label").isin(1, 2)).select(F.col("vec_id").alias("photo"))
+    return A.dark_controls(T.pixels_of(v.tiles().join(chosen, "photo", "left_semi")))
 
 
 def lut_corner(k):
@@ -544,7 +554,7 @@ def _(v):
     f = [F.col(c) / 32 for c in ("ri", "gi", "bi")]
     bases = node.withColumn("v", F.array(F.array(*f), F.array(*[F.lit(1.0) - e for e in f]), F.array(*[e * e for e in f])))
     weights = v.photo_params.select("photo", F.array(F.lit(0.8) + F.col("strength") / 10, F.col("strength") / 20, F.col("tint")).alias("weights"))
-    return A.apply_lut3d(v.pixels, bases, weights)
+    return T.lut3d_tiles(v.tiles(), bases, weights)
 
 
 @check("w11_monotone_steps", "SELECT photo, y, count(*) FILTER (WHERE d < 0) AS decreasing, count(*) AS points FROM (SELECT photo, y, r - lag(r) OVER (PARTITION BY photo, y ORDER BY x) AS d FROM pixels) q GROUP BY photo, y", views="pixels")

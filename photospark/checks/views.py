@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -166,6 +167,18 @@ _SPARK_TEXT = {
         FROM (SELECT doc_id, explode(array(array({", ".join(_letter(i) for i in range(33))}))) AS c FROM {{documents}})""",
 }
 
+# the images of ``pixels``, ``proposal`` and ``dim`` as array tiles, two strips a photo; the twins read the pixel views
+_AT = "y0 * 8 + j"
+_STRIP = " + ".join(f"{re.sub(r'\bi\b', _AT, _channel(shift))} * {scale}" for shift, scale in ((0, 65536), (21, 256), (42, 1)))
+TILES = {
+    "pixels": f"""
+        SELECT vec_id AS photo, y0, 0 AS x0, 4 AS rows, 8 AS cols, 8 AS h, 8 AS w, transform(sequence(0, 31), j -> {_STRIP}) AS px
+        FROM (SELECT vec_id, embedding, explode(array(0, 4)) AS y0 FROM {{embeddings}})""",
+    "proposal": "transform(px, c -> least(255, shiftright(c, 16) + 24) * 65536 + (c & 65280) + greatest(0, (c & 255) - 24))",
+    "dim": """transform(px, (c, j) -> CAST(floor(shiftright(c, 16) / 3) AS INT) * 65536 + CAST(floor((shiftright(c, 8) & 255) / 3) AS INT) * 256
+        + CASE WHEN y0 = 0 AND j = 0 THEN 255 ELSE CAST(floor((c & 255) / 3) AS INT) END)""",
+}
+
 # one generated row per text keeps the long CASE chains out of pushed-down filters
 _head, _rest = VIEWS["settings_text"].split("concat(", 1)
 _body, _tail = _rest.rsplit("AS settings", 1)
@@ -247,6 +260,11 @@ class View:
         body = _expand(_tables(body, "spark", self.path), "spark")
         return self.spark.sql(("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body)
 
+    def tiles(self, name: str = "pixels") -> DataFrame:
+        """The images of a pixel view as array tiles."""
+        base = self.spark.sql(_expand(_tables(TILES["pixels"], "spark", self.path), "spark"))
+        return base if name == "pixels" else base.withColumn("px", F.expr(TILES[name]))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.sql(f"SELECT * FROM {name}", name)

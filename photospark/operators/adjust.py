@@ -1,6 +1,7 @@
 """Pointwise tone and color jobs over pixel tables, their guards and decisions.
 
-Settings are one row per photo and join on the photo; the maps themselves are column expressions.
+Settings are one row per photo and join on the photo; the maps themselves are column expressions. Rows that carry
+their settings already, as those of ``tiles.pixels_of`` do, need no settings table and no join.
 """
 
 from __future__ import annotations
@@ -21,12 +22,17 @@ def _ceiling() -> Column:
     return F.when(F.greatest(*[F.col(c) for c in RGB]) == 255, 1.0).otherwise(HEADROOM)
 
 
-def apply_tone(linear: DataFrame, params: DataFrame, protect: bool = True) -> DataFrame:
+def _with(rows: DataFrame, settings: DataFrame | None, *cols: str) -> DataFrame:
+    """Rows with the settings of their photo; without a table they carry them already."""
+    return rows if settings is None else rows.join(settings.select("photo", *cols), "photo")
+
+
+def apply_tone(linear: DataFrame, params: DataFrame | None = None, protect: bool = True) -> DataFrame:
     """Exposure with a highlight shoulder and highlight recovery on linear r, g, b in [0,1].
 
     ``params``: (photo, exposure, recovery, strength).
     """
-    p = linear.join(params.select("photo", "exposure", "recovery", "strength"), "photo")
+    p = _with(linear, params, "exposure", "recovery", "strength")
     p = p.withColumn("_gain", F.pow(F.lit(2.0), F.col("exposure") * F.col("strength"))).withColumn("_peak", F.greatest(*RGB))
     knee = F.lit(0.6) / F.col("_gain")
     over = F.greatest(F.col("_peak") - knee, F.lit(0.0))
@@ -41,16 +47,20 @@ def apply_tone(linear: DataFrame, params: DataFrame, protect: bool = True) -> Da
     return p.select("photo", "y", "x", *[K.clamp(F.col(c) * F.col("_k")).alias(c) for c in RGB])
 
 
-def protect_color(both: DataFrame, settings: DataFrame, caps: DataFrame | None = None) -> DataFrame:
+def capped(settings: DataFrame, caps: DataFrame) -> DataFrame:
+    """(photo, color_strength, tone_lift), both lowered to the photo's caps where it has some."""
+    c = caps.select("photo", F.col("color_strength").alias("_cc"), F.col("tone_lift").alias("_ct"))
+    return settings.join(c, "photo", "left").select("photo", F.least("color_strength", "_cc").alias("color_strength"), F.least("tone_lift", "_ct").alias("tone_lift"))
+
+
+def protect_color(both: DataFrame, settings: DataFrame | None = None, caps: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Merge original (r,g,b) and proposed (adj_*) pixels into bounded out_* pixels.
 
-    ``settings``: (photo, color_strength, tone_lift); ``caps`` lowers both per photo.
+    ``settings``: (photo, color_strength, tone_lift); ``caps`` lowers both per photo; ``keep`` names further columns to carry.
     """
-    s = settings.select("photo", "color_strength", "tone_lift")
-    if caps is not None:
-        c = caps.select("photo", F.col("color_strength").alias("_cc"), F.col("tone_lift").alias("_ct"))
-        s = s.join(c, "photo", "left").select("photo", F.least("color_strength", "_cc").alias("color_strength"), F.least("tone_lift", "_ct").alias("tone_lift"))
-    p = both.join(s, "photo").withColumn("_y", unit_luma()).withColumn("_ya", unit_luma("adj_"))
+    if settings is not None and caps is not None:
+        settings = capped(settings, caps)
+    p = _with(both, settings, "color_strength", "tone_lift").withColumn("_y", unit_luma()).withColumn("_ya", unit_luma("adj_"))
     spread = F.greatest(*[unit(c) for c in RGB]) - F.least(*[unit(c) for c in RGB])
     y = F.col("_y")
     mask = K.smoothstep(0.03, 0.25, y) * (F.lit(1.0) - K.smoothstep(0.75, 0.98, y)) * K.smoothstep(0.0, 0.08, spread)
@@ -65,12 +75,12 @@ def protect_color(both: DataFrame, settings: DataFrame, caps: DataFrame | None =
         .when(F.col(f"_c{c}") < 0, F.col("_ty") / F.greatest(-F.col(f"_c{c}"), F.lit(1e-7))).otherwise(1.0) for c in RGB
     ]
     p = p.withColumn("_s", K.clamp(F.least(*room)))
-    return p.select("photo", "y", "x", *RGB, *[K.floor_code(F.col("_ty") + F.col(f"_c{c}") * F.col("_s")).alias("out_" + c) for c in RGB])
+    return p.select("photo", "y", "x", *keep, *RGB, *[K.floor_code(F.col("_ty") + F.col(f"_c{c}") * F.col("_s")).alias("out_" + c) for c in RGB])
 
 
-def lift_shadows(pixels: DataFrame, strengths: DataFrame) -> DataFrame:
+def lift_shadows(pixels: DataFrame, strengths: DataFrame | None = None) -> DataFrame:
     """Common-gain shadow lift with headroom into out_*; strength 0 keeps the pixels. ``strengths``: (photo, strength)."""
-    p = pixels.join(strengths.select("photo", "strength"), "photo").withColumn("_y", unit_luma())
+    p = _with(pixels, strengths, "strength").withColumn("_y", unit_luma())
     target = K.shadow_curve(F.col("_y"), F.col("strength"))
     peak = F.greatest(*[unit(c) for c in RGB])
     gain = F.least(target / F.greatest("_y", F.lit(1e-7)), _ceiling() / F.greatest(peak, F.lit(1e-7)))
@@ -78,9 +88,9 @@ def lift_shadows(pixels: DataFrame, strengths: DataFrame) -> DataFrame:
     return p.select(*pixels.columns, *[F.when(F.col("strength") == 0, F.col(c)).otherwise(K.floor_code(unit(c) * F.col("_g"))).alias("out_" + c) for c in RGB])
 
 
-def apply_wb(pixels: DataFrame, coefficients: DataFrame, tint_only: bool = False) -> DataFrame:
-    """Bounded white-balance map. ``coefficients``: (photo, coef) with 33 values, term-major (11 terms x r,g,b)."""
-    p = pixels.join(coefficients.select("photo", "coef"), "photo")
+def apply_wb(pixels: DataFrame, coefficients: DataFrame | None = None, tint_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Bounded white-balance map. ``coefficients``: (photo, coef) with 33 values, term-major (11 terms x r,g,b); ``keep``: columns to carry."""
+    p = _with(pixels, coefficients, "coef")
     p = p.withColumns({f"_u{c}": unit(c) for c in RGB})
     u = [F.col(f"_u{c}") for c in RGB]
     terms = K.color_terms(*u)
@@ -102,7 +112,7 @@ def apply_wb(pixels: DataFrame, coefficients: DataFrame, tint_only: bool = False
         .when(F.col(f"_e{c}") < 0, F.col(f"_u{c}") / F.greatest(-F.col(f"_e{c}"), F.lit(1e-12))).otherwise(1.0) for c in RGB
     ]
     p = p.withColumn("_s", K.clamp(F.least(*room)))
-    return p.select("photo", "y", "x", *RGB, *[K.floor_code(F.col(f"_u{c}") + F.col(f"_e{c}") * F.col("_s")).alias("out_" + c) for c in RGB])
+    return p.select("photo", "y", "x", *keep, *RGB, *[K.floor_code(F.col(f"_u{c}") + F.col(f"_e{c}") * F.col("_s")).alias("out_" + c) for c in RGB])
 
 
 def blend(both: DataFrame, strength: float) -> DataFrame:
@@ -111,12 +121,12 @@ def blend(both: DataFrame, strength: float) -> DataFrame:
         F.rint(F.col(c).cast("double") * (1 - strength) + F.col("adj_" + c).cast("double") * strength).cast("int").alias(c) for c in RGB])
 
 
-def apply_curves(pixels: DataFrame, curves: DataFrame, kind: str = "gamma") -> DataFrame:
+def apply_curves(pixels: DataFrame, curves: DataFrame | None = None, kind: str = "gamma") -> DataFrame:
     """Gamma, guarded gamma or shared-peak curve per photo.
 
     ``curves``: (photo, gamma, strength) and, for ``peak``, (tint) added to every channel's chroma term.
     """
-    p = pixels.join(curves, "photo")
+    p = pixels if curves is None else pixels.join(curves, "photo")
     g, s = F.col("gamma"), F.col("strength")
     if kind == "peak":
         peak = F.greatest(*[unit(c) for c in RGB])
@@ -128,9 +138,9 @@ def apply_curves(pixels: DataFrame, curves: DataFrame, kind: str = "gamma") -> D
     return p.select("photo", "y", "x", *RGB, *[F.when(still, F.col(c)).otherwise(K.round_code(v)).alias("out_" + c) for c, v in value.items()])
 
 
-def dark_controls(pixels: DataFrame, ids: DataFrame, factor: float = 0.125) -> DataFrame:
-    """Darker linear-light copies of chosen photos, linked to their parents."""
-    chosen = pixels.join(ids.select("photo"), "photo", "left_semi")
+def dark_controls(pixels: DataFrame, ids: DataFrame | None = None, factor: float = 0.125) -> DataFrame:
+    """Darker linear-light copies of the photos in ``ids`` (all without it), linked to their parents."""
+    chosen = pixels if ids is None else pixels.join(ids.select("photo"), "photo", "left_semi")
     dim = lambda c: K.round_code(K.to_display(K.to_linear(unit(c)) * factor)).alias(c)
     return chosen.select(F.concat(F.col("photo").cast("string"), F.lit("_dark_control")).alias("photo"), F.col("photo").alias("parent"), "y", "x", *[dim(c) for c in RGB])
 
@@ -335,26 +345,39 @@ def crop_consistency(pixels: DataFrame, job, boxes: list[tuple[int, int, int, in
     return first.exceptAll(last).unionByName(last.exceptAll(first))
 
 
+def as_source(based: DataFrame, *carried: str) -> DataFrame:
+    """Protected pixels as the input of the next map: the original becomes src_*, out_* becomes r, g, b."""
+    return based.select("photo", "y", "x", *carried, *[F.col(c).alias("src_" + c) for c in RGB], *[F.col("out_" + c).alias(c) for c in RGB])
+
+
+def natural_report(final: DataFrame, strengths: DataFrame) -> DataFrame:
+    """Guard of src_*, r, g, b and out_* in one pass: (photo, new_black, new_full, strength, applied)."""
+    base_black, base_full = _endpoints("src_", "")
+    black, full = _endpoints("src_", "out_")
+    guard = final.groupBy("photo").agg(black.alias("new_black"), full.alias("new_full"), (base_black + base_full).alias("_base"), _darkening("src_", "").alias("_dark"))
+    return guard.join(strengths, "photo").select(
+        "photo", "new_black", "new_full", "strength",
+        ((F.col("new_black") + F.col("new_full") + F.col("_base") == 0) & (F.col("_dark") >= -0.501)).alias("applied"))
+
+
+def kept_pixels(final: DataFrame) -> DataFrame:
+    """Final pixels where ``applied`` holds, else the original ones."""
+    return final.select("photo", "y", "x", *[F.when(F.col("applied"), F.col("out_" + c)).otherwise(F.col("src_" + c)).alias(c) for c in RGB])
+
+
 def natural_adjust(pixels: DataFrame, proposal: DataFrame, limits: DataFrame, edge: int = 256) -> tuple[DataFrame, DataFrame]:
     """Protected color, shadow lift and the final guard; a photo that fails keeps its original pixels.
 
-    ``limits``: (photo, color_strength, tone_lift, shadow_strength). Returns (pixels, report per photo).
+    ``limits``: (photo, color_strength, tone_lift, shadow_strength). Returns (pixels, report per photo). This is the form
+    for pixel tables, whose rows are shuffled; ``tiles.natural_adjust_tiles`` doesn't.
     """
     from photospark.operators import features as E
 
     both = E.join_pixels(pixels, proposal)
-    sampled = E.sample_grid(both, edge)
-    based = protect_color(both, E.natural_settings(sampled), limits)
-    suggested = E.shadow_settings(sampled).join(limits.select("photo", "shadow_strength"), "photo").select(
-        "photo", F.least("suggested_strength", "shadow_strength").alias("strength"))
+    found = E.adjust_settings(E.sample_grid(both, edge))
+    based = protect_color(both, found, limits)
+    suggested = found.join(limits.select("photo", "shadow_strength"), "photo").select("photo", F.least("suggested_strength", "shadow_strength").alias("strength"))
     # source, base and final pixels stay on one row, so the pixel tables are joined only once
-    base = based.select("photo", "y", "x", *[F.col(c).alias("src_" + c) for c in RGB], *[F.col("out_" + c).alias(c) for c in RGB])
-    final = lift_shadows(base, suggested)
-    base_black, base_full = _endpoints("src_", "")
-    black, full = _endpoints("src_", "out_")
-    guard = final.groupBy("photo").agg(black.alias("new_black"), full.alias("new_full"), (base_black + base_full).alias("_base"), _darkening("src_", "").alias("_dark"))
-    report = guard.join(suggested, "photo").select(
-        "photo", "new_black", "new_full", "strength",
-        ((F.col("new_black") + F.col("new_full") + F.col("_base") == 0) & (F.col("_dark") >= -0.501)).alias("applied"))
-    kept = final.join(report.select("photo", "applied"), "photo")
-    return kept.select("photo", "y", "x", *[F.when(F.col("applied"), F.col("out_" + c)).otherwise(F.col("src_" + c)).alias(c) for c in RGB]), report
+    final = lift_shadows(as_source(based), suggested)
+    report = natural_report(final, suggested)
+    return kept_pixels(final.join(report.select("photo", "applied"), "photo")), report

@@ -140,12 +140,14 @@ def zone_stats(lab: DataFrame, key: str = "photo") -> DataFrame:
     return lab.groupBy(key).agg(F.array(*_moments(zone_of(F.col("L")), tuple(LAB_BOUNDS))).alias("zones"))
 
 
-def features_132(lab: DataFrame, key: str = "photo") -> DataFrame:
-    """(photo, x): histogram, thirds and zones in fixed order."""
-    rows = with_dims(lab, key).withColumn("_t", third_of(F.col("y"), F.col("h")))
+def features_132(lab: DataFrame, key: str = "photo", bins: int = 32) -> DataFrame:
+    """(photo, x): histogram, thirds and zones in fixed order, all from one pass over the pixels."""
+    rows = with_dims(lab, key)
     names = tuple(LAB_BOUNDS)
-    moments = rows.groupBy(key).agg(F.array(*_moments(F.col("_t"), names), *_moments(zone_of(F.col("L")), names)).alias("m"))
-    return channel_histogram(lab, key).join(moments, key).select(key, F.concat("hist", "m").alias("x"))
+    cells = {c: _bin(F.col(c), lo, hi, bins) for c, (lo, hi) in LAB_BOUNDS.items()}
+    shares = [F.count_if(cells[c] == i) / F.count(F.lit(1)) for c in names for i in range(bins)]
+    moments = [*_moments(third_of(F.col("y"), F.col("h")), names), *_moments(zone_of(F.col("L")), names)]
+    return rows.groupBy(key).agg(F.array(*shares, *moments).alias("x"))
 
 
 def outside_fraction(lab: DataFrame, key: str = "photo") -> DataFrame:
@@ -175,24 +177,44 @@ def select_recipe(pixels: DataFrame, key: str = "photo") -> DataFrame:
     return q.select(key, F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p95")).withColumn("recipe", F.when(fits, "natural").otherwise("unchanged"))
 
 
+def _color_change() -> Column:
+    """Largest change of a channel's distance from luma between r,g,b and adj_*."""
+    y0, y1 = unit_luma(), unit_luma("adj_")
+    return F.greatest(*[F.abs((unit("adj_" + c) - y1) - (unit(c) - y0)) for c in RGB])
+
+
+def _shadow_share() -> Column:
+    y = unit_luma()
+    return F.avg(((y >= 0.02) & (y < 0.35)).cast("double"))
+
+
+def _natural(q: DataFrame) -> DataFrame:
+    return q.withColumn("color_strength", F.least(F.lit(0.35), F.lit(0.04) / F.greatest("color_change_p95", F.lit(0.04)))).withColumn(
+        "tone_lift", clamp((F.lit(0.35) - F.col("luma_q30")) / 0.25) * 0.15)
+
+
+def _shadow(q: DataFrame) -> DataFrame:
+    amount = F.rint(clamp((F.lit(0.4) - F.col("luma_q30")) / 0.3) * 75 * F.least(F.lit(1.0), F.col("shadow_fraction") / 0.25) / 5) * 5
+    return q.withColumn("suggested_strength", amount / 100)
+
+
 def natural_settings(both: DataFrame, key: str = "photo") -> DataFrame:
     """Color strength and tone lift per photo from joined pixels (r,g,b and adj_r,adj_g,adj_b).
 
     Pass a sampled table (``sample_grid``) when photos are large.
     """
-    y0, y1 = unit_luma(), unit_luma("adj_")
-    moved = F.greatest(*[F.abs((unit("adj_" + c) - y1) - (unit(c) - y0)) for c in RGB])
-    q = both.groupBy(key).agg(F.percentile(moved, 0.95).alias("color_change_p95"), F.percentile(y0, 0.3).alias("luma_q30"))
-    return q.withColumn("color_strength", F.least(F.lit(0.35), F.lit(0.04) / F.greatest("color_change_p95", F.lit(0.04)))).withColumn(
-        "tone_lift", clamp((F.lit(0.35) - F.col("luma_q30")) / 0.25) * 0.15)
+    return _natural(both.groupBy(key).agg(F.percentile(_color_change(), 0.95).alias("color_change_p95"), F.percentile(unit_luma(), 0.3).alias("luma_q30")))
 
 
 def shadow_settings(pixels: DataFrame, key: str = "photo") -> DataFrame:
     """Suggested shadow strength in steps of five per cent."""
-    y = unit_luma()
-    q = pixels.groupBy(key).agg(F.percentile(y, 0.3).alias("luma_q30"), F.avg(((y >= 0.02) & (y < 0.35)).cast("double")).alias("shadow_fraction"))
-    amount = F.rint(clamp((F.lit(0.4) - F.col("luma_q30")) / 0.3) * 75 * F.least(F.lit(1.0), F.col("shadow_fraction") / 0.25) / 5) * 5
-    return q.withColumn("suggested_strength", amount / 100)
+    return _shadow(pixels.groupBy(key).agg(F.percentile(unit_luma(), 0.3).alias("luma_q30"), _shadow_share().alias("shadow_fraction")))
+
+
+def adjust_settings(both: DataFrame, key: str = "photo") -> DataFrame:
+    """``natural_settings`` and ``shadow_settings`` from one pass."""
+    return _shadow(_natural(both.groupBy(key).agg(
+        F.percentile(_color_change(), 0.95).alias("color_change_p95"), F.percentile(unit_luma(), 0.3).alias("luma_q30"), _shadow_share().alias("shadow_fraction"))))
 
 
 def luma_summary(pixels: DataFrame, key: str = "photo") -> DataFrame:
