@@ -6,6 +6,7 @@ from photospark.checks.registry import check
 from photospark.functions import color as K
 from photospark.operators import adjust as A
 from photospark.operators import features as E
+from photospark.operators import resample as R
 from photospark.operators import tiles as T
 
 
@@ -160,13 +161,19 @@ def _(v):
     return text(E.features_19(seen(v)))
 
 
-RECIPE = f"""rec AS (SELECT photo, quantile_cont(l, 0.5) AS median, quantile_cont(l, 0.95) AS p95 FROM (SELECT photo, {lum(lin(u('r')), lin(u('g')), lin(u('b')))} AS l FROM dim) q GROUP BY photo),
+# cubic weights of 8 source positions for 128 target positions, then both axes with codes in between
+REDUCED = """wts AS (SELECT o, i, CASE WHEN k < 0 THEN ceil(k * 4194304 - CAST(0.5 AS DOUBLE)) ELSE floor(k * 4194304 + CAST(0.5 AS DOUBLE)) END AS wt FROM (SELECT o, i, k / sum(k) OVER (PARTITION BY o) AS k FROM (
+      SELECT o, i, CASE WHEN t < 1 THEN (1.5 * t - 2.5) * t * t + 1 WHEN t < 2 THEN ((-0.5 * t + 2.5) * t - 4) * t + 2 ELSE 0 END AS k FROM (
+      SELECT o, i, abs(CAST(i AS DOUBLE) - (CAST(o AS DOUBLE) + 0.5) / 16 + 0.5) AS t FROM range(128) a(o), range(8) b(i)) q) q) q),
+    wide AS (SELECT photo, y, o AS x, """ + ", ".join(f"least(greatest(floor((sum({c} * wt) + 2097152) / 4194304), 0), 255) AS {c}" for c in "rgb") + """ FROM dim JOIN wts ON i = x GROUP BY photo, y, o),
+    small AS (SELECT photo, o AS y, x, """ + ", ".join(f"least(greatest(floor((sum({c} * wt) + 2097152) / 4194304), 0), 255) AS {c}" for c in "rgb") + """ FROM wide JOIN wts ON i = y GROUP BY photo, o, x)"""
+RECIPE = f"""{REDUCED}, rec AS (SELECT photo, quantile_cont(l, 0.5) AS median, quantile_cont(l, 0.95) AS p95 FROM (SELECT photo, {lum(lin(u('r')), lin(u('g')), lin(u('b')))} AS l FROM small) q GROUP BY photo),
     recipes AS (SELECT photo, median, p95, CASE WHEN median >= 0.025 AND median < 0.25 AND p95 < 0.9 THEN 'natural' ELSE 'unchanged' END AS recipe FROM rec)"""
 
 
 @check("a14_select_recipe", f"WITH {RECIPE} SELECT * FROM recipes", views="dim", doubles="median p95")
 def _(v):
-    return E.select_recipe(seen(v, "dim"))
+    return E.select_recipe(R.resize_tiles(v.tiles("dim")))
 
 
 def moved_sql():
@@ -256,12 +263,13 @@ NEIGH = """nb AS (SELECT t.photo, t.y, t.x, quantile_disc(n.out_r, 0.5) AS mr, q
         avg(CASE WHEN greatest(src_r, src_g, src_b) > 0 AND greatest(src_r, src_g, src_b) <= 16 THEN (abs(out_r - mr) + abs(out_g - mg) + abs(out_b - mb)) / CAST(3 AS DOUBLE) END) AS res
       FROM gr JOIN nb USING (photo, y, x) GROUP BY photo) e USING (photo)""", views="dim proposal", doubles="mse mean_rgb new_full_channel_fraction psnr_db chroma_mse luma_gradient_l1 dark_median_residual_codes")
 def _(v):
-    return E.native_metrics(triple(v)).fillna(-1.0)
+    three = pair(v, "dim").withColumnRenamed("adj", "out").withColumn("ref", F.transform("px", lambda c: T.code(T.channel(c, 1), T.channel(c, 2), T.channel(c, 0))))
+    return T.native_metrics_tiles(three, 4, 8).fillna(-1.0)
 
 
 @check("w10_gradients", "SELECT photo, y, x, coalesce(r - lag(r) OVER (PARTITION BY photo, y ORDER BY x), -999) AS dx, coalesce(r - lag(r) OVER (PARTITION BY photo, x ORDER BY y), -999) AS dy FROM pixels", views="pixels")
 def _(v):
-    return E.gradients(v.pixels, "r").fillna(-999, ["dx", "dy"]).select("photo", "y", "x", "dx", "dy")
+    return T.gradients_tiles(v.tiles(), 4, 8).select("photo", "y", "x", F.coalesce("dx_r", F.lit(-999)).alias("dx"), F.coalesce("dy_r", F.lit(-999)).alias("dy"))
 
 
 @check("a28_pooled_reference_mae", f"""WITH c AS (SELECT photo, CAST(floor(y / 2) AS INT) AS cy, CAST(floor(x / 2) AS INT) AS cx, avg(p.r) - avg(q.r) AS dr, avg(p.g) - avg(q.g) AS dg, avg(p.b) - avg(q.b) AS db FROM pixels p JOIN proposal q USING (photo, y, x) GROUP BY 1, 2, 3)
@@ -519,7 +527,7 @@ def _(v):
     SELECT photo, recipe, CASE WHEN recipe <> 'unchanged' AND new_full > 0.001 THEN 'unchanged' ELSE recipe END AS selected, CASE WHEN recipe <> 'unchanged' AND new_full > 0.001 THEN 'candidate rejected by clipping guard' ELSE '' END AS reason FROM recipes JOIN nf USING (photo)""", views="dim proposal")
 def _(v):
     diag = A.clip_diagnostics(both(v, "dim", "out_"))
-    return A.recipe_gate(E.select_recipe(seen(v, "dim")), diag).select("photo", "recipe", "selected", "reason")
+    return A.recipe_gate(E.select_recipe(R.resize_tiles(v.tiles("dim"))), diag).select("photo", "recipe", "selected", "reason")
 
 
 @check("x13_dark_controls", f"SELECT photo || '_dark_control' AS photo, photo AS parent, y, x, {', '.join(rcode(disp(lin(u(c)) + ' * 0.125')) + f' AS {c}' for c in 'rgb')} FROM pixels WHERE photo IN (SELECT vec_id FROM embeddings WHERE label IN (1, 2))", views="pixels")

@@ -170,7 +170,7 @@ def features_19(pixels: DataFrame, key: str = "photo", bins: int = 8) -> DataFra
 
 
 def select_recipe(pixels: DataFrame, key: str = "photo") -> DataFrame:
-    """Median and p95 of linear luma and the proposed recipe."""
+    """Median and p95 of linear luma and the proposed recipe; the rule is made for photos reduced to 128 x 128 (``resample.resize_tiles``)."""
     y = luma(*[to_linear(unit(c)) for c in RGB])
     q = pixels.groupBy(key).agg(F.percentile(y, F.array(F.lit(0.5), F.lit(0.95))).alias("_q"))
     fits = (F.col("median") >= 0.025) & (F.col("median") < 0.25) & (F.col("p95") < 0.9)

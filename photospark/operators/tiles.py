@@ -163,3 +163,137 @@ def lut3d_tiles(tiles: DataFrame, bases: DataFrame, weights: DataFrame, nodes: i
     kind = tiles.schema["photo"].dataType.simpleString()
     schema = f"photo {kind}, y int, x int, r int, g int, b int, out_r int, out_g int, out_b int"
     return with_settings(tiles, weights.select("photo", "weights")).select("photo", "y0", "x0", "cols", "px", "weights").mapInArrow(look_up, schema)
+
+
+# ---------------------------------------------------------------- tiles with borders
+
+
+def with_halo(tiles: DataFrame, names: tuple[str, ...] = ("px",), rows: int = 128, cols: int = 512) -> DataFrame:
+    """Attach ``halo``: for every neighbour (side 0 to 8, row by row, 4 the tile itself) the codes that touch the tile, per version.
+
+    Each tile sends its edge rows, edge columns and corners to its neighbours, so one shuffle carries the edges of the
+    tiles. ``rows`` and ``cols`` are the pitch of the cut; a tile off the grid fails the job.
+    """
+    on_grid = (F.col("y0") % rows == 0) & (F.col("x0") % cols == 0) & (F.col("rows") == F.least(F.lit(rows), F.col("h") - F.col("y0"))) & (
+        F.col("cols") == F.least(F.lit(cols), F.col("w") - F.col("x0")))
+    tiles = require(tiles, on_grid, "tiles don't follow the pitch")
+    # one generated row computes derived codes once, not once per pixel of an edge
+    once = F.explode(F.array(F.struct(*names))).alias("_v")
+    tiles = tiles.select(*[c for c in tiles.columns if c not in names], once).select("*", "_v.*").drop("_v")
+
+    def part(name: str, dy: int, dx: int) -> Column:
+        ys = {-1: F.array(F.lit(0)), 1: F.array(F.col("rows") - 1), 0: F.sequence(F.lit(0), F.col("rows") - 1)}[dy]
+        xs = {-1: F.array(F.lit(0)), 1: F.array(F.col("cols") - 1), 0: F.sequence(F.lit(0), F.col("cols") - 1)}[dx]
+        return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.get(name, (y * F.col("cols") + x).cast("int")))))
+
+    sent = []
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            if (dy, dx) != (0, 0):
+                sent.append(F.struct((F.col("y0") + dy * rows).alias("y0"), (F.col("x0") + dx * cols).alias("x0"), F.lit((1 - dy) * 3 + 1 - dx).alias("side"),
+                                     F.array(*[part(n, dy, dx) for n in names]).alias("codes")))
+    inside = (F.col("_m.y0") >= 0) & (F.col("_m.x0") >= 0) & (F.col("_m.y0") < F.col("h")) & (F.col("_m.x0") < F.col("w"))
+    edges = tiles.select("photo", "h", "w", F.explode(F.array(*sent)).alias("_m")).where(inside).select("photo", "_m.*")
+    halo = edges.groupBy(*PLACE).agg(F.map_from_entries(F.collect_list(F.struct("side", "codes"))).alias("halo"))
+    return tiles.join(halo, list(PLACE), "left")
+
+
+def _padded(codes, halo: dict, which: int, rows: int, cols: int):
+    """Codes of a tile with a border of one: the neighbours' pixels, at the photo's edge the nearest pixel."""
+    import numpy as np
+
+    out = np.zeros((rows + 2, cols + 2), dtype=np.int64)
+    out[1:-1, 1:-1] = codes.reshape(rows, cols)
+    for side, at, near in ((3, 0, 1), (5, -1, -2)):
+        out[1:-1, at] = halo[side][which] if side in halo else out[1:-1, near]
+    for row, at, near in ((0, 0, 1), (6, -1, -2)):
+        if row + 1 not in halo:
+            out[at] = out[near]
+            continue
+        out[at, 1:-1] = halo[row + 1][which]
+        for side, x, inner in ((row, 0, 1), (row + 2, -1, -2)):
+            out[at, x] = halo[side][which][0] if side in halo else out[at, inner]
+    return out
+
+
+def _channels(padded):
+    import numpy as np
+
+    return np.stack([padded >> 16, (padded >> 8) & 255, padded & 255])
+
+
+def _each_tile(batch, names):
+    """(photo, y0, x0, padded codes per version) of a batch of tiles with halos."""
+    place = batch.select(["photo", "y0", "x0", "rows", "cols", "halo"]).to_pydict()
+    codes = [batch.column(n) for n in names]
+    for i, (photo, y0, x0, rows, cols, halo) in enumerate(zip(*place.values())):
+        around = dict(halo or [])
+        yield photo, y0, x0, [_padded(c[i].values.to_numpy(zero_copy_only=False), around, k, rows, cols) for k, c in enumerate(codes)]
+
+
+def gradients_tiles(tiles: DataFrame, rows: int = 128, cols: int = 512) -> DataFrame:
+    """(photo, y, x, dx_r .. dy_b): differences to the previous pixel along x and y, null at the photo's edge."""
+    def differ(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for photo, y0, x0, (padded,) in _each_tile(batch, ("px",)):
+                value = _channels(padded)
+                inner = value[:, 1:-1, 1:-1]
+                high, wide = inner.shape[1:]
+                ys, xs = (a.ravel() for a in np.mgrid[y0:y0 + high, x0:x0 + wide])
+                steps = [(inner - value[:, 1:-1, :-2], xs == 0), (inner - value[:, :-2, 1:-1], ys == 0)]
+                columns = [pa.array(d[i].ravel().astype(np.int32), mask=edge) for d, edge in steps for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(high * wide, photo)), pa.array(ys.astype(np.int32)), pa.array(xs.astype(np.int32)), *columns], names=names)
+
+    names = ["photo", "y", "x", *[f"d{a}_{c}" for a in "xy" for c in RGB]]
+    kind = tiles.schema["photo"].dataType.simpleString()
+    schema = ", ".join([f"photo {kind}", *[f"{n} int" for n in names[1:]]])
+    return with_halo(tiles, ("px",), rows, cols).select(*LAYOUT, "photo", "px", "halo").mapInArrow(differ, schema)
+
+
+def native_metrics_tiles(tiles: DataFrame, rows: int = 128, cols: int = 512) -> DataFrame:
+    """``features.native_metrics`` of tiles with three versions: px (source), out and ref.
+
+    Every tile yields one row of sums, computed with its border; the sums of a photo are added up.
+    """
+    sums = ("n", "square", "mean", "full", "chroma", "dx", "nx", "dy", "ny", "dark", "ndark")
+
+    def measure(batches):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        from photospark.functions.color import LUMA
+
+        weight = np.array(LUMA)[:, None, None]
+        for batch in batches:
+            found = []
+            for photo, y0, x0, versions in _each_tile(batch, ("px", "out", "ref")):
+                source, out, ref = (_channels(v) for v in versions)
+                core = np.s_[:, 1:-1, 1:-1]
+                a, b, peak = out[core] / 255, ref[core] / 255, source[core].max(axis=0)
+                la, lb = (out / 255 * weight).sum(axis=0), (ref / 255 * weight).sum(axis=0)
+                ca, cb = la[1:-1, 1:-1], lb[1:-1, 1:-1]
+                apart = la - lb
+                across, down = np.abs(apart[1:-1, 1:-1] - apart[1:-1, :-2]), np.abs(apart[1:-1, 1:-1] - apart[:-2, 1:-1])
+                across, down = across[:, 1 if x0 == 0 else 0:], down[1 if y0 == 0 else 0:]
+                high, wide = ca.shape
+                near = np.stack([out[:, i:i + high, j:j + wide] for i in range(3) for j in range(3)])
+                residual = np.abs(out[core] - np.median(near, axis=0)).sum(axis=0) / 3
+                dark = (peak > 0) & (peak <= 16)
+                found.append((photo, ca.size, ((a - b) ** 2).sum() / 3, a.sum() / 3, ((out[core].max(axis=0) == 255) & (peak < 255)).sum(),
+                              (((a - ca) - (b - cb)) ** 2).sum() / 3, across.sum(), across.size, down.sum(), down.size, residual[dark].sum(), dark.sum()))
+            frame = pd.DataFrame(found, columns=["photo", *sums])
+            yield pa.RecordBatch.from_pandas(frame.astype({c: "float64" for c in sums}), preserve_index=False)
+
+    kind = tiles.schema["photo"].dataType.simpleString()
+    measured = with_halo(tiles, ("px", "out", "ref"), rows, cols).select(*LAYOUT, "photo", "px", "out", "ref", "halo").mapInArrow(
+        measure, ", ".join([f"photo {kind}", *[f"{c} double" for c in sums]]))
+    total = measured.groupBy("photo").agg(*[F.sum(c).alias(c) for c in sums])
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return total.select(
+        "photo", share("square", "n").alias("mse"), share("mean", "n").alias("mean_rgb"), share("full", "n").alias("new_full_channel_fraction"),
+        E.psnr(F.col("square") / F.col("n")).alias("psnr_db"), share("chroma", "n").alias("chroma_mse"),
+        ((share("dy", "ny") + share("dx", "nx")) / 2).alias("luma_gradient_l1"), share("dark", "ndark").alias("dark_median_residual_codes"))

@@ -112,3 +112,69 @@ def test_lookup_table_on_tiles(spark, cut):
         T.lut3d_tiles(cut[0], bases.where("ri > 0"), weights, n, count)
     with pytest.raises(ValueError, match="every node"):
         T.lut3d_tiles(cut[0], bases.unionByName(bases.where("ri = 0 AND gi = 0 AND bi = 0")), weights, n, count)
+
+
+def test_borders_make_cut_photos_equal_to_whole_ones(spark, cut):
+    first, second = cut
+    three = T.with_second(first, second, "out").withColumn("ref", F.transform("px", lambda c: T.code(T.channel(c, 1), T.channel(c, 2), T.channel(c, 0))))
+    three = three.withColumn("px", F.transform("px", lambda c: T.code(T.channel(c, 0) % 20, T.channel(c, 1) % 20, T.channel(c, 2) % 20)))
+    rows = T.pixels_of(three, out="out_", ref="ref_").withColumnsRenamed({c: "src_" + c for c in "rgb"})
+    plain = {r["photo"]: r.asDict() for r in E.native_metrics(rows).collect()}
+    got = {r["photo"]: r.asDict() for r in T.native_metrics_tiles(three, 4, 5).collect()}
+    assert set(got) == set(plain) == set(IMAGES)
+    for photo, values in got.items():
+        for name, value in values.items():
+            want = plain[photo][name]
+            assert (value is None and want is None) or np.isclose(value, want, atol=1e-12), (photo, name, value, want)
+
+
+def test_gradients_across_tiles(spark, cut):
+    df = T.gradients_tiles(cut[0], 4, 5)
+    got = {(r["photo"], r["y"], r["x"]): (r["dx_g"], r["dy_g"]) for r in df.collect()}
+    for photo, a in IMAGES.items():
+        for y in range(a.shape[0]):
+            for x in range(a.shape[1]):
+                want = (a[y, x, 1] - a[y, x - 1, 1] if x else None, a[y, x, 1] - a[y - 1, x, 1] if y else None)
+                assert got[photo, y, x] == want
+    with pytest.raises(Exception, match="pitch"):
+        T.gradients_tiles(cut[0], 4, 6).collect()
+
+
+def resized(a, height, width):
+    """Plain two-axis cubic resampling with codes in between, pixel by pixel."""
+    def axis(v, size, target):
+        scale = size / target
+        wide, out = max(scale, 1.0), []
+        for o in range(target):
+            center = (o + 0.5) * scale
+            at = range(max(int(center - 2 * wide + 0.5), 0), min(int(center + 2 * wide + 0.5), size))
+            raw = []
+            for i in at:
+                t = abs((i - center + 0.5) / wide)
+                raw.append(1.5 * t ** 3 - 2.5 * t ** 2 + 1 if t < 1 else -0.5 * t ** 3 + 2.5 * t ** 2 - 4 * t + 2 if t < 2 else 0.0)
+            whole = [int(np.trunc(k / sum(raw) * 2 ** 22 + np.copysign(0.5, k))) for k in raw]
+            out.append(sum(v[i].astype(int) * k for i, k in zip(at, whole)))
+        return np.clip((np.stack(out) + 2 ** 21) >> 22, 0, 255)
+
+    across = axis(a.transpose(1, 0, 2), a.shape[1], width)
+    return axis(across.transpose(1, 0, 2), a.shape[0], height)
+
+
+@pytest.mark.parametrize("size", [(4, 3), (16, 20), (7, 7)])
+def test_resampling_to_any_size(spark, cut, size):
+    from photospark.operators.resample import resize_tiles
+
+    df = resize_tiles(cut[0], *size)
+    got = {(r["photo"], r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in df.collect()}
+    assert len(got) == len(IMAGES) * size[0] * size[1]
+    for photo, a in IMAGES.items():
+        want = resized(a, *size)
+        for y in range(size[0]):
+            for x in range(size[1]):
+                assert got[photo, y, x] == tuple(want[y, x]), (photo, y, x)
+
+
+def test_resampling_to_the_same_size_changes_nothing(spark, cut):
+    from photospark.operators.resample import resize_tiles
+
+    same(resize_tiles(cut[0].where("photo = 1"), *SHAPES[1]), pixels(spark, {1: IMAGES[1]}))
