@@ -1,5 +1,7 @@
 """Baselines, metrics, strata, gates, comparisons and rankings against their SQL twins."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from photospark.checks.label_checks import CONTRACT, TARGETS, targets
@@ -68,12 +70,59 @@ def wide_truth(v):
     return M.standardize(joined, cols, M.fit_standardizer(joined.where("split = 'train'"), cols)), cols
 
 
-@check("b2_linear_baseline")
+def fit_sql(name, source, target, weight="1", reg="0"):
+    """CTEs that eliminate the 4 x 4 normal equations of a target on x0..x3 column by column; the last one, ``name``, has one row of coefficients."""
+    w = f"CAST({weight} AS DOUBLE)"
+    mean = lambda v: f"(sum({w} * ({v})) / sum({w}))"
+    firsts = ", ".join(f"{mean(c)} AS c{i}" for i, c in enumerate(("x0", "x1", "x2", "x3", target)))
+    off = lambda i: f"({target} - c4)" if i == 4 else f"(x{i} - c{i})"
+    keys = "reg, c0, c1, c2, c3, c4"
+    cells = ", ".join(f"{mean(off(i) + ' * ' + off(j))}" + (f" * (1 + reg)" if i == j else "") + f" AS m{i}{j}" for i in range(4) for j in range(5))
+    steps = [f"{name}_c AS (SELECT {firsts} FROM {source})",
+             f"{name}_0 AS (SELECT {keys}, {cells} FROM {source} CROSS JOIN {name}_c CROSS JOIN (SELECT unnest([{reg}])::DOUBLE AS reg) g GROUP BY {keys})"]
+    for k in range(4):
+        reduced = ", ".join((f"m{i}{j} / m{k}{k}" if i == k else f"m{i}{j} - m{i}{k} * m{k}{j} / m{k}{k}") + f" AS m{i}{j}" for i in range(4) for j in range(5))
+        steps.append(f"{name}_{k + 1} AS (SELECT {keys}, {reduced} FROM {name}_{k})")
+    steps.append(f"{name} AS (SELECT reg, m04 AS b0, m14 AS b1, m24 AS b2, m34 AS b3, c4 - m04 * c0 - m14 * c1 - m24 * c2 - m34 * c3 AS b4 FROM {name}_4)")
+    return ", ".join(steps)
+
+
+CLIPPED = "least(greatest(b0 * x0 + b1 * x1 + b2 * x2 + b3 * x3 + b4, -1), 1)"
+WIDE = TRUTH + """, wide AS MATERIALIZED (SELECT t.photo, t.split, x0, x1, x2, x3, max(CASE WHEN parameter = 'Exposure' THEN truth END) AS Exposure, max(CASE WHEN parameter = 'HighlightRecovery' THEN truth END) AS HighlightRecovery
+      FROM truth t JOIN features4 USING (photo) GROUP BY ALL), learn AS MATERIALIZED (SELECT * FROM wide WHERE split = 'train')"""
+
+
+@check("b2_linear_baseline", f"""WITH {WIDE}, {fit_sql('fe', 'learn', 'Exposure')}, {fit_sql('fh', 'learn', 'HighlightRecovery')}
+    SELECT 'physical_linear' AS model, photo, split, 'Exposure' AS parameter, {CLIPPED} AS pred, Exposure AS truth FROM wide CROSS JOIN fe WHERE split <> 'train'
+    UNION ALL SELECT 'physical_linear', photo, split, 'HighlightRecovery', {CLIPPED}, HighlightRecovery FROM wide CROSS JOIN fh WHERE split <> 'train'""", views=LONG, doubles="pred truth")
 def _(v):
     wide, cols = wide_truth(v)
     return B.linear_baseline(wide, cols, ("Exposure", "HighlightRecovery"))
 
 
+def picks_sql(seed):
+    """The Poisson(1) numbers of ``linear.poisson_picks``."""
+    shares, term = [], math.exp(-1)
+    for k in range(1, 13):
+        shares.append((shares[-1] if shares else 0) + term)
+        term /= k
+    return "(" + " + ".join(f"CASE WHEN @pick(k{seed}) >= {int(s * 2 ** 32)} THEN 1 ELSE 0 END" for s in shares) + ")"
+
+
+SEEDS = (7, 17, 42)
+PICKED = "picked AS MATERIALIZED (SELECT *, " + ", ".join(f"{picks_sql(s)} AS w{s}" for s in SEEDS) + " FROM (SELECT *, " + ", ".join(f"concat('{s}-', CAST(photo AS VARCHAR)) AS k{s}" for s in SEEDS) + " FROM learn) q)"
+GRID = "0.0, 0.1, 1.0"
+
+
+@check("b4_grid_screen", f"""WITH {WIDE}, {PICKED}, {fit_sql('fg', 'learn', 'Exposure', reg=GRID)}, {", ".join(fit_sql(f"fs{s}", "picked", "Exposure", f"w{s}", GRID) for s in SEEDS)},
+    screen AS (SELECT 'screen' AS stage, reg, CAST(NULL AS INT) AS seed, avg(abs({CLIPPED} - Exposure)) AS score FROM wide CROSS JOIN fg WHERE split = 'val' GROUP BY reg),
+    best AS (SELECT reg FROM screen ORDER BY score, reg LIMIT 1)
+    SELECT * FROM screen {" ".join(f"UNION ALL SELECT 'rerun', reg, {s}, avg(abs({CLIPPED} - Exposure)) FROM wide CROSS JOIN (SELECT * FROM fs{s} JOIN best USING (reg)) q WHERE split = 'val' GROUP BY reg" for s in SEEDS)}""", views=LONG, doubles="reg score")
+def _(v):
+    wide, cols = wide_truth(v)
+    return B.grid_screen(wide, cols, ("Exposure",), [0.0, 0.1, 1.0], SEEDS)
+
+
 @check("b3_batch_score", """SELECT vec_id, CAST(i AS INTEGER) AS pos, least(greatest(CAST((@elem(embedding, i) + @elem(embedding, i + 6)) AS DOUBLE), -1), 1) AS v
     FROM embeddings, (SELECT unnest(range(6)) AS i) n""", doubles="v")
 def _(v):
@@ -85,13 +134,6 @@ def _(v):
     return B.batch_score(feat, make).select("vec_id", F.posexplode("prediction").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
 
 
-@check("b4_grid_screen")
-def _(v):
-    wide, cols = wide_truth(v)
-    score = lambda p: M.with_errors(p).where("split = 'val'").agg(F.avg("abs_norm").alias("s"))
-    return G.pick_winner(B.grid_screen(wide, cols, ("Exposure",), [0.0, 0.1, 1.0], score), "reg", "score")
-
-
 @check("b5_delta", """
     SELECT l_orderkey AS photo, 'v' || l_linenumber AS version, l_returnflag AS parameter, value - current AS delta FROM
       (SELECT l_orderkey, l_linenumber, l_returnflag, sum(l_quantity) AS value FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL) a

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from photospark.contract import NAMES, require
 from photospark.functions.arrays import all_finite
+from photospark.operators import linear
 
 
 def constant_baseline(data: DataFrame) -> DataFrame:
@@ -28,20 +29,10 @@ def simple_linear_baseline(data: DataFrame, x: str) -> DataFrame:
 
 
 def linear_baseline(wide: DataFrame, features: list[str], targets: tuple[str, ...] = NAMES, reg: float = 0.0, fit_intercept: bool = True) -> DataFrame:
-    """Least squares on standardised features for each target, clipped to [-1,1] (distributed normal equations)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    ready = VectorAssembler(inputCols=features, outputCol="_x").transform(wide)
-    train, rest = ready.where("split = 'train'"), ready.where("split <> 'train'")
-    for name in targets:
-        model = LinearRegression(featuresCol="_x", labelCol=name, predictionCol=f"_{name}", solver="normal", regParam=reg,
-                                 standardization=True, fitIntercept=fit_intercept).fit(train)
-        rest = model.transform(rest)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("parameter"), F.least(F.greatest(F.col(f"_{n}"), F.lit(-1.0)), F.lit(1.0)).alias("pred"), F.col(n).alias("truth")) for n in targets
-    ]))
-    return rest.select(F.lit("physical_linear").alias("model"), "photo", "split", rows.alias("_r")).select("model", "photo", "split", "_r.*")
+    """Least squares on standardised features for all targets from one pass over train, clipped to [-1,1] (``linear.solve``)."""
+    train, rest = wide.where("split = 'train'"), wide.where("split <> 'train'")
+    model = linear.solve(linear.moments(train, [*features, *targets])[0], len(features), reg, fit_intercept)
+    return linear.predict(rest, features, targets, [model]).select(F.lit("physical_linear").alias("model"), "photo", "split", "parameter", "pred", "truth")
 
 
 def batch_score(feat: DataFrame, make_predict: Callable, width: int = 6, batch: int = 1024, col: str = "x") -> DataFrame:
@@ -61,14 +52,28 @@ def batch_score(feat: DataFrame, make_predict: Callable, width: int = 6, batch:
         "prediction", F.transform("prediction", lambda v: F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0))))
 
 
-def grid_screen(wide: DataFrame, features: list[str], targets: tuple[str, ...], grid: list[float], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Validation score of a regularised linear model per grid value over one prepared train table."""
-    ready = wide.persist()
-    try:
-        rows = [(float(reg), float(score(linear_baseline(ready, features, targets, reg=reg)).first()[0])) for reg in grid]
-    finally:
-        ready.unpersist()
-    return wide.sparkSession.createDataFrame(rows, "reg double, score double")
+def grid_screen(wide: DataFrame, features: list[str], targets: tuple[str, ...], grid: list[float], seeds: tuple[int, ...] = ()) -> DataFrame:
+    """(stage, reg, seed, score): mean absolute validation error of every penalty, then of the best one on seeded resamples of train.
+
+    One pass over train serves all penalties, targets and seeds, one over validation scores the whole grid and one
+    the seeds. The best penalty has the least score, ties by the smaller penalty.
+    """
+    train, val = wide.where("split = 'train'"), wide.where("split = 'val'")
+    found = linear.moments(train, [*features, *targets], [F.lit(1), *[linear.poisson_picks(s, "photo") for s in seeds]])
+
+    def scores(stage: str, settings: list[tuple], models: list) -> DataFrame:
+        named = wide.sparkSession.createDataFrame([(i, stage, float(reg), seed) for i, (reg, seed) in enumerate(settings)], "model int, stage string, reg double, seed int")
+        rows = linear.predict(val, features, targets, models).groupBy("model").agg(F.avg(F.abs(F.col("pred") - F.col("truth"))).alias("score"))
+        return named.join(rows, "model").select("stage", "reg", "seed", "score")
+
+    screen = scores("screen", [(reg, None) for reg in grid], [linear.solve(found[0], len(features), reg) for reg in grid])
+    # one row per penalty
+    rated = screen.collect()
+    screen = wide.sparkSession.createDataFrame(rated, screen.schema)
+    if not seeds or not rated:
+        return screen
+    best = min(rated, key=lambda r: (r["score"], r["reg"]))["reg"]
+    return screen.unionByName(scores("rerun", [(best, s) for s in seeds], [linear.solve(m, len(features), best) for m in found[1:]]))
 
 
 def delta(pred: DataFrame, current: DataFrame, key: str = "photo") -> DataFrame:
