@@ -14,6 +14,7 @@ from photospark.operators import status as ST
 from photospark.plans.splits import load_or_create_split
 from photospark.session import ensure_checkpoint_dir
 from photospark.sources import files as FS
+from photospark.sources import objects as FO
 from photospark.sources import sinks as K
 from photospark.streaming import jobs as T
 
@@ -290,6 +291,26 @@ def _(v):
     return FS.read_labels(v.spark, path)
 
 
+@check("s4_label_object", "SELECT concat('p}\"', photo) AS photo_id, expert, parameter, max(value) AS value FROM labels_long GROUP BY 1, 2, 3", views="labels_long", doubles="value")
+def _(v):
+    path = scratch(v)
+    per = v.labels_long.groupBy("photo", "expert", "parameter").agg(F.max("value").alias("value")).groupBy("photo", "expert").agg(F.map_from_entries(F.collect_set(F.struct("parameter", "value"))).alias("m"))
+    nested = per.groupBy("photo").agg(F.map_from_entries(F.collect_set(F.struct("expert", F.array_sort(F.map_entries("m"))))).alias("e"))
+    entry = F.create_map(F.concat(F.lit('p}"'), F.col("photo").cast("string")), F.transform_values("e", lambda _, m: F.map_from_entries(m)))
+
+    def one_object(batches):
+        import pyarrow as pa
+
+        open_with = "{"
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"value": [(open_with if i == 0 else ",") + t[1:-1] for i, t in enumerate(batch.column("value").to_pylist())]})
+            open_with = "," if batch.num_rows else open_with
+        yield pa.RecordBatch.from_pydict({"value": ["{}" if open_with == "{" else "}"]})
+
+    nested.select(F.to_json(entry).alias("value")).mapInArrow(one_object, "value string").write.text(path)
+    return FO.read_label_object(v.spark, path)
+
+
 @check("s7_scan_archives", "SELECT role || '/' || conv_id || '-' || turn AS member, role AS branch, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM conversations")
 def _(v):
     rows = v.conversations.select(F.concat(F.col("role"), F.lit("/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("member"), "text").repartition(4)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photospark.functions.text import md5_pick
-from photospark.session import collect_bounded
 
 SPLITS = ("train", "val", "test")
 
@@ -17,21 +18,23 @@ def seeded_hash(key: str, seed: int):
 
 
 def allocate(classes: list[tuple[int, int]], ratios: tuple[int, ...] = (8, 1, 1)) -> list[tuple[int, int, int, list[int]]]:
-    """Runs (size, start, length, pattern) of the greedy whole-group allocation.
+    """``allocate_runs`` of a list of (group size, number of groups), largest size first."""
+    return list(allocate_runs(classes, sum(c for _, c in classes), sum(s * c for s, c in classes), ratios))
+
 
-    ``classes`` lists (group size, number of groups), largest size first. Each group goes to the split with the
-    largest remaining deficit; runs of equal-size groups repeat a short pattern, so the work here depends
-    on the number of distinct sizes only. The last three groups are placed singly so that no split stays empty.
+def allocate_runs(classes: Iterable[tuple[int, int]], total_groups: int, photos: int, ratios: tuple[int, ...] = (8, 1, 1)) -> Iterator[tuple[int, int, int, list[int]]]:
+    """Runs (size, start, length, pattern) of the greedy whole-group allocation, one class after the other.
+
+    Each group goes to the split with the largest remaining deficit; runs of equal-size groups repeat a short pattern, so
+    the work here depends on the number of distinct sizes only and the state is one number per split. The last three
+    groups are placed singly so that no split stays empty.
     """
-    total_groups = sum(c for _, c in classes)
     if total_groups < len(ratios):
         raise ValueError("at least three distinct groups are needed")
     scale = sum(ratios)
-    photos = sum(s * c for s, c in classes)
     deficit = [r * photos for r in ratios]
     taken = [0] * len(ratios)
     left = total_groups
-    runs: list[tuple[int, int, int, list[int]]] = []
 
     def largest() -> int:
         return max(range(len(ratios)), key=lambda i: (deficit[i], -i))
@@ -45,13 +48,12 @@ def allocate(classes: list[tuple[int, int]], ratios: tuple[int, ...] = (8, 1, 1)
                 pattern, rounds = [empty[0] if len(empty) == left else largest()], 1
             else:
                 pattern, rounds = _cycle(deficit, step, bulk)
-            runs.append((size, start, len(pattern) * rounds, pattern))
+            yield size, start, len(pattern) * rounds, pattern
             for i in pattern:
                 deficit[i] -= step * rounds
                 taken[i] += rounds
             start += len(pattern) * rounds
             left -= len(pattern) * rounds
-    return runs
 
 
 def _cycle(deficit: list[int], step: int, room: int) -> tuple[list[int], int]:
@@ -75,18 +77,31 @@ def group_split(photos: DataFrame, key: str = "photo_id", group: str = "group_id
     """(key, group, split): approximately 80/10/10 without dividing a group.
 
     Groups are ordered by (size desc, seeded hash). The position of a group inside its size class is the number
-    of groups in earlier hash buckets plus its rank in its own bucket, so no window spans a whole class.
+    of groups in earlier hash buckets plus its rank in its own bucket, so no window spans a whole class. The distinct sizes
+    are walked as a stream by one task: D of them need at least D * D / 2 photos, so there are at most the square root of
+    twice the photos (141,422 for 10^10). Fewer than three groups fail the job; an empty table gives an empty split.
     """
     sizes = photos.groupBy(group).agg(F.count(F.lit(1)).alias("_size")).withColumn("_hash", seeded_hash(group, seed))
     keyed = sizes.withColumn("_bucket", F.substring("_hash", 1, digits))
     per_bucket = keyed.groupBy("_size", "_bucket").agg(F.count(F.lit(1)).alias("_groups"))
-    classes = collect_bounded(per_bucket.groupBy("_size").agg(F.sum("_groups").alias("n")).orderBy(F.desc("_size")), 500_000, "distinct group sizes")
-    runs = allocate([(r["_size"], r["n"]) for r in classes], ratios)
-    spark = photos.sparkSession
-    plan = spark.createDataFrame(
-        [(s, a, a + n, [SPLITS[i] for i in pattern]) for s, a, n, pattern in runs],
-        "_size long, _from long, _to long, _pattern array<string>",
-    )
+    everything = Window.partitionBy()
+    classes = per_bucket.groupBy("_size").agg(F.sum("_groups").alias("n")).select(
+        "_size", "n", F.sum("n").over(everything).alias("groups"), F.sum(F.col("_size") * F.col("n")).over(everything).alias("photos")).sortWithinPartitions(F.desc("_size"))
+
+    def walk(batches):
+        import itertools
+
+        import pyarrow as pa
+
+        rows = ((r["_size"], r["n"], r["groups"], r["photos"]) for batch in batches for r in batch.to_pylist())
+        first = next(rows, None)
+        if first is None:
+            return
+        sizes = ((size, n) for size, n, _, _ in itertools.chain([first], rows))
+        for size, start, length, pattern in allocate_runs(sizes, first[2], first[3], ratios):
+            yield pa.RecordBatch.from_pylist([{"_size": size, "_from": start, "_to": start + length, "_pattern": [SPLITS[i] for i in pattern]}])
+
+    plan = classes.mapInArrow(walk, "_size long, _from long, _to long, _pattern array<string>")
     earlier = Window.partitionBy("_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("_size", "_bucket", F.coalesce(F.sum("_groups").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_size", "_bucket").orderBy("_hash", group)

@@ -232,6 +232,21 @@ def test_pairs_split_16_2_2(spark):
     assert S.leak_check(out, df, df.limit(0)).first()["crossing_groups"] == 0
 
 
+def test_every_group_of_its_own_size(spark):
+    sizes = list(range(1, 61))
+    df = spark.createDataFrame([(f"p{s}_{i}", f"g{s}") for s in sizes for i in range(s)], "photo_id string, group_id string")
+    got = dict(S.group_split(df).select("group_id", "split").distinct().collect())
+    want = greedy(sizes[::-1])
+    assert [got[f"g{s}"] for s in sizes[::-1]] == [S.SPLITS[i] for i in want]
+
+
+def test_split_of_few_or_no_groups(spark):
+    df = spark.createDataFrame([("a", "g1"), ("b", "g2")], "photo_id string, group_id string")
+    with pytest.raises(Exception, match="at least three distinct groups"):
+        S.group_split(df).collect()
+    assert S.group_split(df.limit(0)).collect() == []
+
+
 def greedy_picks(rows, hashed, quotas, n):
     names, tally, used, want = sorted(rows, key=lambda r: (hashed[r[0]], r[0])), {"a": {}, "b": {}}, set(), []
     while len(want) < n:
