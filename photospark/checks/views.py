@@ -263,7 +263,9 @@ class View:
     def tiles(self, name: str = "pixels") -> DataFrame:
         """The images of a pixel view as array tiles."""
         base = self.spark.sql(_expand(_tables(TILES["pixels"], "spark", self.path), "spark"))
-        return base if name == "pixels" else base.withColumn("px", F.expr(TILES[name]))
+        px = F.col("px") if name == "pixels" else F.expr(TILES[name])
+        # one generated row computes the codes of a tile once, wherever they are read
+        return base.withColumn("_px", px).select(*[c for c in base.columns if c != "px"], F.explode(F.array("_px")).alias("px"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

@@ -56,11 +56,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def one_row(df: DataFrame) -> Column:
     """A single-row DataFrame as a struct column (scalar subquery, so no join is planned)."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).scalar()
-
-
-def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
-    """Bring a small dimension to the driver, refusing anything above its stated bound."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} exceeds its bound of {limit} rows")
-    return rows
