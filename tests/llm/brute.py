@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -67,15 +69,26 @@ def distance(a, b):
     return row[-1]
 
 
-def repeated_lines(rows, code_of, least=5, apart=3, share=0.9):
-    """id -> numbers of the lines that go; ``code_of`` gives the 64-bit code of a plain line."""
+def repeated_lines(rows, distance, share=0.9):
+    """id -> numbers of the lines that go: plain edit similarity over all pairs of distinct lines with a word (``distance`` is one held against the plain one).
+
+    Pairs whose counts of single characters differ by more than the edits allowed could do are passed over.
+    """
     found = [(d, k, plain_line(x)) for d, t in sorted(rows, key=lambda r: r[0]) if t is not None for k, x in enumerate(t.split("\n"))]
-    found = [f for f in found if len(f[2].split()) >= least]
-    names = sorted({x for _, _, x in found})
-    codes, groups = code_of(names), Groups()
+    found = [f for f in found if f[2]]
+    names, groups = sorted({x for _, _, x in found}), Groups()
+    signs = {c: i for i, c in enumerate(sorted({c for x in names for c in x}))}
+    counts = np.zeros((len(names), len(signs)), np.int32)
+    for i, x in enumerate(names):
+        for c, n in Counter(x).items():
+            counts[i, signs[c]] = n
+    size = counts.sum(1)
     for i, a in enumerate(names):
-        for b in names[i + 1:]:
-            if bin(codes[a] ^ codes[b]).count("1") <= apart and distance(a, b) <= (1 - share) * max(len(a), len(b)):
+        apart = np.abs(counts[i + 1:] - counts[i]).sum(1)
+        most = (1 - share) * np.maximum(size[i + 1:], size[i]) + 1e-9
+        for j in np.flatnonzero((apart <= 2 * most) & (np.abs(size[i + 1:] - size[i]) <= most)):
+            b = names[i + 1 + j]
+            if groups.find(a) != groups.find(b) and distance(a, b) <= (1 - share) * max(len(a), len(b)):
                 groups.join(a, b)
     kept, gone = set(), {}
     for d, k, x in found:

@@ -261,7 +261,7 @@ def test_toxicity_learns(spark):
 
 def codes(names):
     out = {}
-    for row, _, _, sim, _ in lines.hashes_of(pa.array(names, pa.string())):
+    for row, _, _, sim, _, _ in lines.hashes_of(pa.array(names, pa.string())):
         out.update({names[r]: int(s) & (2**64 - 1) for r, s in zip(row, sim)})
     return out
 
@@ -291,7 +291,7 @@ def test_line_dedup(spark, small):
     rows += [(700 + k, t) for k, t in enumerate(ODD)] + [(800, "a b c d 12\nA, b c d 77\nshort"), (801, "a b c d 90")]
     out = lines.dedup_lines(table(spark, rows), Stage(spark, "t"))
     got = {r["doc_id"]: (list(r["dropped"]), r["text"], r["n_lines"]) for r in out.collect()}
-    want = brute.repeated_lines(rows, codes)
+    want = brute.repeated_lines(rows, lines.edits)
     for d, t in rows:
         gone = want.get(d, [])
         left = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
@@ -347,7 +347,7 @@ def near_copies(rng, sizes, n):
 
 def test_whole_line_search(spark):
     texts, alike = near_copies(random.Random(17), [8, 10, 20, 40], 300)
-    out = {r["doc_id"]: list(r["dropped"]) for r in lines.dedup_lines(table(spark, texts), Stage(spark, "t"), whole=True).collect()}
+    out = {r["doc_id"]: list(r["dropped"]) for r in lines.dedup_lines(table(spark, texts), Stage(spark, "t")).collect()}
     lost = [k for k in alike if out[2 * k + 1] != [0]]
     assert len(alike) > 200 and len(lost) <= len(alike) // 50 and all(len(texts[2 * k][1]) >= lines.SHORT for k in lost)
     assert all(out[2 * k] == [] for k in range(300))
@@ -356,6 +356,6 @@ def test_whole_line_search(spark):
 def test_whole_line_search_takes_short_lines(spark):
     texts, alike = near_copies(random.Random(18), [2, 3, 4], 200)
     odd = [(1000, "and\nx y\n漢字かなまじり文"), (1001, "AND!\nx  y\n\n漢字かなまじり文"), (1002, "and"), (1003, ""), (1004, None), (1005, "...")]
-    out = {r["doc_id"]: list(r["dropped"]) for r in lines.dedup_lines(table(spark, texts + odd), Stage(spark, "t"), whole=True).collect()}
+    out = {r["doc_id"]: list(r["dropped"]) for r in lines.dedup_lines(table(spark, texts + odd), Stage(spark, "t")).collect()}
     assert [out[d] for d, _ in odd] == [[], [0, 1, 3], [0], [], [], []]
     assert len(alike) > 100 and all(out[2 * k + 1] == [0] for k in alike)

@@ -116,7 +116,7 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
         elif name == "line_dedup":
             assert set(after) == set(before) and docs.where("n_chars <> length(text)").count() == 0
             rows = [(d, t) for d, t in before.items()]
-            gone = brute.repeated_lines(rows, D.codes)
+            gone = brute.repeated_lines(rows, D.lines.edits)
             assert after == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(d, ())) for d, t in rows}
         elif name == "near_dedup":
             want, _ = brute.near_components(before.items())
