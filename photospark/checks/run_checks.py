@@ -407,6 +407,26 @@ def _(v):
     return v.spark.read.parquet(out).select("photo", "x")
 
 
+@check("t1_resume", """
+    SELECT o_orderkey AS photo, o_totalprice / 8 AS x, CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 4 END AS changed_x,
+    1 + (o_orderstatus = 'F')::BIGINT AS processed, 1 - (o_orderstatus = 'F')::BIGINT AS cached FROM orders""", doubles="x changed_x")
+def _(v):
+    """All orders arrive, then all of them again, those of one status with other content."""
+    uploads, out, keys = scratch(v), scratch(v), ["photo", "config", "source", "content"]
+    base = v.orders.select(F.col("o_orderkey").alias("photo"), F.lit("c1").alias("config"), F.col("o_orderpriority").alias("source"), "o_orderstatus", "o_totalprice")
+    results = lambda b: b.select("photo", "price", (F.col("price") / 8).alias("x"), "again")
+    for again in (0, 1):
+        price = F.col("o_totalprice") * F.when((F.col("o_orderstatus") == "F") & F.lit(again == 1), 2).otherwise(1)
+        sent = base.select("photo", "config", "source", price.alias("price"), F.sha2(price.cast("string"), 256).alias("content"), F.lit(again).alias("again"))
+        sent.write.mode("append").parquet(uploads)
+        if again == 0:
+            form, done = sent.schema, scratch(v)
+        T.ingest_new(T.file_stream(v.spark, uploads, form), keys, results, out, done).awaitTermination()
+    log = v.spark.read.parquet(f"{out}/log").groupBy("photo").agg(F.count_if(F.col("status") == "processed").alias("processed"), F.count_if(F.col("status") == "cached").alias("cached"))
+    got = v.spark.read.parquet(f"{out}/results").groupBy("photo").agg(F.max(F.when(F.col("again") == 0, F.col("x"))).alias("x"), F.max(F.when(F.col("again") == 1, F.col("x"))).alias("changed_x"))
+    return got.join(log, "photo")
+
+
 @check("t2_once_per_upload", "SELECT DISTINCT user_id, event_type, sha256(props) AS sha FROM events")
 def _(v):
     out = scratch(v)

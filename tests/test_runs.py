@@ -202,3 +202,31 @@ def test_a_failed_replacement_leaves_the_old_data(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
     K.write_atomic(spark.range(3), path)
     assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+def test_stream_resumes_by_the_batch_rule(spark, tmp_path):
+    from photospark.streaming import jobs
+
+    form, keys = "photo string, config string, source string, content string, v int", ["photo", "config", "source", "content"]
+    batches = [
+        [("a", "c1", "s", "x", 1), ("b", "c1", "s", "y", 2), ("a", "c1", "s", "x", 1), (None, "c1", "s", None, 3)],
+        [("a", "c1", "s", "x", 1), ("b", "c1", "s", "z", 4), (None, "c1", "s", None, 3), ("d", "c1", "s", "w", 5)],  # replayed, changed, replayed, new
+        [("a", "c2", "s", "x", 1), ("b", "c1", "s", "y", 2), ("b", "c1", "t", "z", 4)]]  # other configuration, back to a known content, other source
+    want = {0: ["processed"] * 3, 1: ["cached", "cached", "processed", "processed"], 2: ["cached", "processed", "processed"]}
+    work = lambda b: b.select(*keys, (b.v * 10).alias("r"))
+    cache = None
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, form).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame(rows, form).schema)
+        jobs.ingest_new(stream, keys, work, str(tmp_path / "out"), str(tmp_path / "done")).awaitTermination()
+        log = spark.read.parquet(str(tmp_path / "out/log")).where(f"epoch = {k}").collect()
+        assert sorted(r["status"] for r in log) == sorted(want[k]) and sum(r["copies"] for r in log) == len(rows)
+        fresh = spark.createDataFrame(rows, form).dropDuplicates(keys).where("photo IS NOT NULL")
+        known = spark.createDataFrame([], f"{form.rsplit(',', 1)[0]}, r int") if cache is None else spark.createDataFrame(cache, f"{form.rsplit(',', 1)[0]}, r int")
+        batch = N.incremental(fresh, known, work, keys)
+        status = {tuple(r[c] for c in keys): r["status"] for r in batch.collect()}
+        assert status == {tuple(r[c] for c in keys): r["status"] for r in log if r["photo"] is not None}
+        new = [tuple(r) for r in batch.where("status = 'processed'").drop("status").collect()]
+        cache = (cache or []) + new
+        done = spark.read.parquet(str(tmp_path / "out/results")).drop("epoch").where("photo IS NOT NULL").collect()
+        assert sorted(map(tuple, done)) == sorted(cache)
