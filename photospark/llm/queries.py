@@ -28,7 +28,7 @@ def op5_flow_resharding(spark: SparkSession, path: str) -> DataFrame:
 def op6_url_rules(spark: SparkSession, path: str) -> DataFrame:
     lists = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
     labels = table(spark, path, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("blocked"))
-    return urls.filter_urls(table(spark, path, "pages"), labels, lists, Stage(spark, "urls"))
+    return urls.filter_urls(table(spark, path, "pages"), labels, lists, Stage(spark, "urls"), fold=3, min_confidence=0.0, min_lift=1.5)
 
 
 def op8_fuzzy_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,26 +78,60 @@ def mine_rules(urls: DataFrame, stage: Stage, min_support: float = 0.002, min_co
     return parts.groupBy("items", "confidence", "support").agg(F.min(F.struct("c", "t"))["t"].alias("anchor"))
 
 
+def prune(rules: DataFrame) -> DataFrame:
+    """Rules without those that hold no more than a rule of fewer of their tokens does; found through the anchors."""
+    large = rules.select(F.col("items").alias("own"), F.col("confidence").alias("c"), F.explode("items").alias("anchor"))
+    worse = large.join(rules, "anchor").where((F.size("items") < F.size("own")) & (F.col("confidence") >= F.col("c")) & (F.size(F.array_except("items", "own")) == 0))
+    return rules.join(worse.select(F.col("own").alias("items")).distinct(), "items", "left_anti")
+
+
+def fitting(pages: DataFrame, rules: DataFrame, *more: str) -> DataFrame:
+    """Pairs of a url and a rule whose tokens are all in it; a rule is joined to the urls that have its anchor."""
+    tokens = pages.select("url", *more, tokens_of(F.col("url")).alias("tokens"))
+    return tokens.select("url", *more, "tokens", F.explode("tokens").alias("anchor")).join(rules, "anchor").where(F.forall("items", lambda i: F.array_contains("tokens", i)))
+
+
+def held_out(rules: DataFrame, urls: DataFrame, error: float = 0.05) -> DataFrame:
+    """The rules with ``n`` and ``bad`` on (url, blocked) rows they weren't mined from, ``low``, ``base`` and ``holds``.
+
+    ``low`` is Wilson's lower bound of a rule's rate at ``error`` divided by the number of rules; a rule holds if it is above
+    the share ``base`` of all these rows. A rule that fits none of them doesn't hold.
+    """
+    known = urls.where("url IS NOT NULL AND blocked IS NOT NULL")
+    base = known.agg(F.coalesce(F.avg(F.col("blocked").cast("int")), F.lit(0.0)).alias("base")).first()["base"]
+    z = NormalDist().inv_cdf(1 - error / max(1, rules.count()))
+    seen = fitting(known, rules, "blocked").groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("long")).alias("bad"))
+    n, rate = F.col("n"), F.col("bad") / F.col("n")
+    low = (rate + z * z / (2 * n) - z * F.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return rules.join(seen, "items", "left").withColumns({"low": low, "base": F.lit(base)}).withColumn("holds", F.coalesce(F.col("low") > F.col("base"), F.lit(False)))
+
+
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, best): the strongest rule (confidence, items) whose tokens are all in a url; only urls that have one.
+    """(url, best): the strongest rule (confidence, items) whose tokens are all in a url; only urls that have one."""
+    return fitting(pages, rules).groupBy("url").agg(F.max(F.struct("confidence", "items")).alias("best"))
+
+
+def learn_rules(taught: DataFrame, stage: Stage, fold: int | None = None, **limits) -> DataFrame:
+    """The rules that decide, from (url, blocked) rows: all mined ones, or with ``fold`` those that hold on other urls.
 
-    A rule is joined to the urls that have its anchor.
+    Urls are dealt to ``fold`` parts by hash; rules are mined from all but one part, pruned, and tested on it.
     """
-    tokens = pages.select("url", tokens_of(F.col("url")).alias("tokens"))
-    near = tokens.select("url", "tokens", F.explode("tokens").alias("anchor")).join(rules, "anchor")
-    fits = near.where(F.forall("items", lambda i: F.array_contains("tokens", i)))
-    return fits.groupBy("url").agg(F.max(F.struct("confidence", "items")).alias("best"))
+    if fold is None:
+        return stage.write(mine_rules(taught, stage, **limits), "rules")
+    part = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(fold)) == 0
+    mined = stage.write(prune(mine_rules(taught.where(~part), stage, **limits)), "mined")
+    return stage.write(held_out(mined, taught.where(part)), "rules").where("holds")
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, lists: list[tuple[str, str, str]], stage: Stage, **limits) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, lists: list[tuple[str, str, str]], stage: Stage, fold: int | None = None, **limits) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, mined_rule, confidence.
 
-    ``labels`` (page_id, blocked) teach the mined rules. A null url or one without ``://`` has empty host and path,
+    ``labels`` (page_id, blocked) teach the mined rules; ``fold`` and the limits are those of ``learn_rules``. A null url or one without ``://`` has empty host and path,
     no tokens, and is allowed; repeated rows and ids stay; without labels or frequent tokens nothing is mined and
     the lists alone decide; other columns are ignored.
     """
     taught = pages.select("page_id", "url").join(labels.select("page_id", "blocked"), "page_id")
-    rules = stage.write(mine_rules(taught, stage, **limits), "rules")
+    rules = learn_rules(taught, stage, fold, **limits)
     matches = stage.write(match_rules(pages, rules), "matches")
     base = pages.select("page_id", "url").join(matches, "url", "left").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "best")
     rule, verdict = listed(F.col("host"), F.col("path"), lists)

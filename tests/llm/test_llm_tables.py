@@ -1,6 +1,8 @@
 """Chat formatting, URL rules, the pipeline and the registration."""
 
 import hashlib
+import random
+from statistics import NormalDist
 
 import duckdb
 from pyspark.sql import functions as F
@@ -94,6 +96,37 @@ def test_tokens_that_rank_low_alone_make_rules(spark):
     assert {r["page_id"] for r in out.where("verdict = 'block'").collect()} == set(range(200, 230)) and out.count() == df.count()
 
 
+def test_url_rules_hold_on_other_urls(spark):
+    rng = random.Random(31)
+    rows = []
+    for i in range(3000):
+        bad, shop = rng.random() < 0.1, rng.random() < 0.1
+        # two tokens together mark half of the pages as blocked, either alone fewer, others none
+        own = (["deals"] if shop or rng.random() < 0.2 else []) + (["cheap"] if shop or rng.random() < 0.2 else [])
+        rows.append((i, f"http://h{rng.randrange(9)}.net/{'/'.join([*own, f'w{rng.randrange(30)}'])}/{i}", bad or (shop and rng.random() < 0.5)))
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    limits = {"fold": 3, "min_confidence": 0.0, "min_lift": 1.5}
+    stage = Stage(spark, "t")
+    found = {frozenset(r["items"]): r for r in urls.learn_rules(df, stage, **limits).collect()}
+    both = frozenset({"p:deals", "p:cheap"})
+    assert both in found and both <= max(found, key=lambda k: found[k]["confidence"]) and all(both & k for k in found)
+    held = [(set(r["t"]), r["blocked"]) for r in df.where(F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(3)) == 0).select(urls.tokens_of(F.col("url")).alias("t"), "blocked").collect()]
+    tested = spark.read.parquet(f"{stage.root}/rules").collect()
+    z = NormalDist().inv_cdf(1 - 0.05 / len(tested))
+    for r in tested:
+        own = [b for t, b in held if set(r["items"]) <= t]
+        assert (r["n"] or 0) == len(own) and (r["bad"] or 0) == sum(own)
+        if own:
+            n, x = len(own), sum(own) / len(own)
+            low = (x + z * z / 2 / n - z * (x * (1 - x) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n)
+            assert abs(low - r["low"]) < 1e-9 and r["holds"] == (low > sum(b for _, b in held) / len(held))
+        assert not any(set(o["items"]) < set(r["items"]) and o["confidence"] >= r["confidence"] for o in tested)
+    out = urls.filter_urls(df.select("page_id", "url"), df.select("page_id", "blocked"), [], Stage(spark, "t"), **limits)
+    assert out.where("verdict = 'block'").count() > 200
+    noise = df.withColumn("blocked", F.pmod(F.xxhash64("page_id"), F.lit(7)) == 0)
+    assert urls.learn_rules(noise, Stage(spark, "t"), **limits).count() == 0
+
+
 def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     docs = spark.read.parquet(f"{PATH}/documents.parquet")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{PATH}/benchmark.parquet").collect()]
