@@ -173,7 +173,7 @@ RECIPE = f"""{REDUCED}, rec AS (SELECT photo, quantile_cont(l, 0.5) AS median, q
 
 @check("a14_select_recipe", f"WITH {RECIPE} SELECT * FROM recipes", views="dim", doubles="median p95")
 def _(v):
-    return E.select_recipe(R.resize_tiles(v.tiles("dim")))
+    return R.recipe_tiles(v.tiles("dim"))
 
 
 def moved_sql():
@@ -527,7 +527,7 @@ def _(v):
     SELECT photo, recipe, CASE WHEN recipe <> 'unchanged' AND new_full > 0.001 THEN 'unchanged' ELSE recipe END AS selected, CASE WHEN recipe <> 'unchanged' AND new_full > 0.001 THEN 'candidate rejected by clipping guard' ELSE '' END AS reason FROM recipes JOIN nf USING (photo)""", views="dim proposal")
 def _(v):
     diag = A.clip_diagnostics(both(v, "dim", "out_"))
-    return A.recipe_gate(E.select_recipe(R.resize_tiles(v.tiles("dim"))), diag).select("photo", "recipe", "selected", "reason")
+    return A.recipe_gate(R.recipe_tiles(v.tiles("dim")), diag).select("photo", "recipe", "selected", "reason")
 
 
 @check("x13_dark_controls", f"SELECT photo || '_dark_control' AS photo, photo AS parent, y, x, {', '.join(rcode(disp(lin(u(c)) + ' * 0.125')) + f' AS {c}' for c in 'rgb')} FROM pixels WHERE photo IN (SELECT vec_id FROM embeddings WHERE label IN (1, 2))", views="pixels")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photospark.operators.features import RGB
+from photospark.functions.color import LUMA
+from photospark.operators.features import RGB, propose_recipe
 
 BITS = 22  # weights are integers of this many fraction bits, so every order of addition gives the same code
 
@@ -47,12 +48,12 @@ def _rounded(sums):
     return np.clip((sums + (1 << (BITS - 1))) >> BITS, 0, 255)
 
 
-def resize_tiles(tiles: DataFrame, height: int = 128, width: int = 128) -> DataFrame:
-    """Tiles to pixel rows (photo, y, x, r, g, b) of photos resampled to ``height`` x ``width``.
+def gathered(tiles: DataFrame, height: int, width: int, use, schema: str) -> DataFrame:
+    """One ``use(photo, codes)`` record batch per photo, its resampled codes a (3, height, width) array.
 
-    Each tile gives the weighted sums of its rows for the target columns it touches; sums of tiles side by side are added
-    and rounded to codes (the first axis), then each target column, as long as its photo is high, is
-    resampled in the task that gathers it. What is shuffled is ``width`` sums per photo row. Works for any size and ratio.
+    The first axis is resampled where a tile is read. A tile as wide as its photo yields codes there, one byte each; other tiles
+    yield the sums of the target columns they touch, 4 bytes each (no sum reaches 2^31), which are added to those of the tiles
+    beside them. The task that gathers a photo holds ``width`` such values per photo row; no pixel is a row of its own.
     """
     def across(batches):
         import functools
@@ -62,38 +63,71 @@ def resize_tiles(tiles: DataFrame, height: int = 128, width: int = 128) -> DataF
 
         weights = functools.lru_cache(maxsize=16)(_dense)
         for batch in batches:
-            place = batch.select(["photo", "y0", "x0", "rows", "cols", "h", "w"]).to_pydict()
-            for *spot, px in zip(*place.values(), batch.column("px")):
-                photo, y0, x0, rows, cols, h, w = spot
+            place = batch.select(["x0", "rows", "cols", "w"]).to_pydict()
+            firsts, packed = [], []
+            for x0, rows, cols, w, px in zip(*place.values(), batch.column("px")):
                 codes = px.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(rows, cols)
                 part = weights(w, width)[:, x0:x0 + cols]
                 xs = np.flatnonzero(part.any(axis=1))
-                sums = [((codes >> shift) & 255) @ part[xs].T for shift in (16, 8, 0)]
-                n = rows * len(xs)
-                columns = [np.full(n, photo), np.full(n, h, dtype=np.int32), np.repeat(np.arange(y0, y0 + rows), len(xs)).astype(np.int32), np.tile(xs, rows).astype(np.int32), *[s.ravel() for s in sums]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["photo", "h", "y", "x", *RGB])
+                lo, hi = (0, width) if cols == w else (xs[0], xs[-1] + 1) if len(xs) else (0, 0)
+                sums = np.stack([((codes >> shift) & 255) @ part[lo:hi].T for shift in (16, 8, 0)])
+                firsts.append(-1 if cols == w else int(lo))
+                packed.append((_rounded(sums).astype(np.uint8) if cols == w else sums.astype(np.int32)).tobytes())
+            kept = [batch.column(c) for c in ("photo", "h", "y0", "rows")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(firsts, pa.int32()), pa.array(packed, pa.binary())], names=["photo", "h", "y0", "rows", "first", "part"])
 
     def down(batches):
         import functools
 
         import numpy as np
-        import pyarrow as pa
 
         weights = functools.lru_cache(maxsize=16)(_dense)
         for batch in batches:
-            place = batch.select(["photo", "h", "x"]).to_pydict()
-            for photo, h, x, column in zip(*place.values(), batch.column("column")):
-                fields = {f: column.values.field(f).to_numpy() for f in ("y", *RGB)}
-                codes = np.zeros((h, 3), dtype=np.int64)
-                codes[fields["y"]] = np.stack([fields[c] for c in RGB], axis=1)
-                out = _rounded(weights(h, height) @ codes).astype(np.int32)
-                columns = [np.full(height, photo), np.arange(height, dtype=np.int32), np.full(height, x, dtype=np.int32), *out.T]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["photo", "y", "x", *RGB])
+            place = batch.select(["photo", "h"]).to_pydict()
+            for photo, h, parts in zip(*place.values(), batch.column("parts")):
+                parts = [p.as_py() for p in parts]
+                wide = np.zeros((3, h, width), dtype=np.uint8 if all(p["first"] < 0 for p in parts) else np.int64)
+                for p in parts:
+                    rows = slice(p["y0"], p["y0"] + p["rows"])
+                    if p["first"] < 0:
+                        wide[:, rows] = np.frombuffer(p["part"], dtype=np.uint8).reshape(3, p["rows"], width)
+                    else:
+                        sums = np.frombuffer(p["part"], dtype=np.int32).reshape(3, p["rows"], -1)
+                        wide[:, rows, p["first"]:p["first"] + sums.shape[2]] += sums
+                codes = wide if wide.dtype == np.uint8 else _rounded(wide)
+                # sums stay under 2^53, so products in doubles are exact
+                yield use(photo, _rounded((weights(h, height).astype(np.float64) @ codes.astype(np.float64)).astype(np.int64)))
 
     kind = tiles.schema["photo"].dataType.simpleString()
-    parts = tiles.select("photo", "y0", "x0", "rows", "cols", "h", "w", "px").mapInArrow(across, f"photo {kind}, h int, y int, x int, r long, g long, b long")
-    whole = parts.groupBy("photo", "h", "y", "x").agg(*[F.sum(c).alias(c) for c in RGB])
-    codes = whole.select("photo", "h", "y", "x", *[
-        F.least(F.greatest(F.shiftright(F.col(c) + (1 << (BITS - 1)), BITS), F.lit(0)), F.lit(255)).cast("int").alias(c) for c in RGB])
-    columns = codes.groupBy("photo", "h", "x").agg(F.collect_list(F.struct("y", *RGB)).alias("column"))
-    return columns.mapInArrow(down, f"photo {kind}, y int, x int, r int, g int, b int")
+    kept = ", ".join(f"{c} {tiles.schema[c].dataType.simpleString()}" for c in ("photo", "h", "y0", "rows"))
+    parts = tiles.select("photo", "y0", "x0", "rows", "cols", "h", "w", "px").mapInArrow(across, f"{kept}, first int, part binary")
+    whole = parts.groupBy("photo", "h").agg(F.collect_list(F.struct("y0", "rows", "first", "part")).alias("parts"))
+    return whole.mapInArrow(down, f"photo {kind}, {schema}")
+
+
+def resize_tiles(tiles: DataFrame, height: int = 128, width: int = 128) -> DataFrame:
+    """Tiles to pixel rows (photo, y, x, r, g, b) of photos resampled to ``height`` x ``width``; works for any size and ratio."""
+    def rows(photo, codes):
+        import numpy as np
+        import pyarrow as pa
+
+        ys, xs = (a.ravel().astype(np.int32) for a in np.mgrid[:height, :width])
+        columns = [np.full(height * width, photo), ys, xs, *codes.reshape(3, -1).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["photo", "y", "x", *RGB])
+
+    return gathered(tiles, height, width, rows, "y int, x int, r int, g int, b int")
+
+
+def recipe_tiles(tiles: DataFrame, height: int = 128, width: int = 128) -> DataFrame:
+    """``features.select_recipe`` of photos resampled to ``height`` x ``width``; the percentiles are read where the photo is resampled."""
+    def rank(photo, codes):
+        import numpy as np
+        import pyarrow as pa
+
+        unit = np.arange(256) / 255
+        linear = np.where(unit <= 0.04045, unit / 12.92, ((unit + 0.055) / 1.055) ** 2.4)
+        r, g, b = linear[codes.reshape(3, -1)]
+        median, p95 = np.percentile(r * LUMA[0] + g * LUMA[1] + b * LUMA[2], [50, 95])
+        return pa.RecordBatch.from_pydict({"photo": pa.array(np.full(1, photo)), "median": [median], "p95": [p95]})
+
+    return propose_recipe(gathered(tiles, height, width, rank, "median double, p95 double"))
