@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
@@ -24,41 +23,39 @@ def ingest(stream: DataFrame, compute: Callable[[DataFrame], DataFrame], out: st
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def resume_status(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per identity and batch: its first row, ``copies`` (rows of it in the batch) and ``status``, by the rule of ``lineage.incremental``.
+def resume_status(batch: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per identity of a batch: one of its rows, ``copies`` (rows of it in the batch) and ``status``, by the rule of ``lineage.incremental``.
 
-    ``keys`` name what has to match for a result to be reused: id, configuration, source signature and content hash. An identity seen
-    for the first time is ``processed``, in every later batch ``cached``; the answer depends on no order inside a batch.
-    The state is a count per identity, kept as long as the checkpoint. Keys may be null (null equals null).
+    ``keys`` name what has to match for a result to be reused: id, configuration, source signature and content hash. An identity
+    that ``seen`` lists is ``cached``, any other ``processed``. Keys may be null (null equals null).
     """
-    names = [f.name for f in stream.schema.fields]
-    out = StructType([*stream.schema.fields, StructField("status", StringType()), StructField("copies", LongType())])
-
-    def decide(_, chunks, state: GroupState):
-        first, copies = None, 0
-        for chunk in chunks:
-            first = chunk.iloc[:1] if first is None and len(chunk) else first
-            copies += len(chunk)
-        before = state.get[0] if state.exists else 0
-        state.update((before + copies,))
-        if first is not None:
-            yield first[names].assign(status="cached" if before else "processed", copies=copies)
-
-    return stream.groupBy(*keys).applyInPandasWithState(decide, out, "seen long", "append", GroupStateTimeout.NoTimeout)
+    once = batch.groupBy(*keys).agg(F.first(F.struct(*[c for c in batch.columns if c not in keys] or keys)).alias("_row"), F.count(F.lit(1)).alias("copies"))
+    known = seen.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.lit(True).alias("_known"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+    status = F.when(F.col("_known"), "cached").otherwise("processed").alias("status")
+    return once.join(known, same, "left").select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in batch.columns], status, "copies")
 
 
 def ingest_new(stream: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """Compute only what ``resume_status`` calls processed; ``out/results`` has each identity once, ``out/log`` a line per identity and batch.
 
-    A batch that is run again after a failure finds the state of the batch before and rewrites its own two folders.
+    What is known are the identities that earlier batches list as processed in the log, one line each, so the state lies
+    beside the results and is joined by key. A batch that is run again after a failure reads only batches before it and rewrites its own two folders.
     """
+    spark = stream.sparkSession
+    identity = stream.select(*keys).schema
+    line = StructType([*identity.fields, StructField("copies", LongType()), StructField("epoch", LongType()), StructField("status", StringType())])
+    # an empty first entry, so that the log can always be read
+    spark.createDataFrame([], StructType([*identity.fields, line["copies"], line["status"]])).write.mode("ignore").partitionBy("status").parquet(f"{out}/log/epoch=-1")
+
     def write(batch: DataFrame, epoch: int) -> None:
-        kept = batch.persist()  # read twice; a lost copy is computed again from the same state
+        seen = batch.sparkSession.read.schema(line).parquet(f"{out}/log").where((F.col("epoch") < epoch) & (F.col("status") == "processed"))
+        kept = resume_status(batch, seen, keys).persist()  # read twice; a lost copy is computed again from the same log
         compute(kept.where("status = 'processed'").drop("status", "copies")).write.mode("overwrite").parquet(f"{out}/results/epoch={epoch}")
-        kept.select(*keys, "status", "copies").write.mode("overwrite").parquet(f"{out}/log/epoch={epoch}")
+        kept.select(*keys, "copies", "status").write.mode("overwrite").partitionBy("status").parquet(f"{out}/log/epoch={epoch}")
         kept.unpersist()
 
-    return resume_status(stream, keys).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def once_per_upload(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
