@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from photospark.functions import color as K
 from photospark.operators.features import RGB, new_full, unit, unit_luma
+from photospark.session import sound_unions
 
 HEADROOM = 254 / 255
 # Per-photo caps of color strength and tone lift, and the largest shadow strength.
@@ -341,6 +342,7 @@ def crop_consistency(pixels: DataFrame, job, boxes: list[tuple[int, int, int, in
     inside = F.lit(False)
     for y0, y1, x0, x1 in boxes:
         inside = inside | ((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1))
+    sound_unions(pixels.sparkSession)
     first, last = job(pixels.where(inside)), job(pixels).where(inside)
     return first.exceptAll(last).unionByName(last.exceptAll(first))
 
