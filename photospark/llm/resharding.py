@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,18 +140,29 @@ def rewrite(docs: DataFrame, placed: DataFrame, folder: str, key: str = "doc_id"
     moved = placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     touched = sorted(r["shard"] for r in moved.join(placed.select("shard").distinct(), "shard").collect())
     spots = placed.where(F.col("shard").isin(touched)).select(key, "old_shard", "shard", "slot")
-    out = docs.join(spots, key)
-    out.repartition("shard", F.pmod(F.xxhash64(key), F.lit(64))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    # texts are shuffled once, by the join; each of its tasks writes a file per shard
+    docs.join(spots.hint("merge"), key).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
     return touched
 
 
+def numbered(docs: DataFrame, stage: Stage) -> DataFrame:
+    """``docs`` with ``row``, the file and the place in it of each row; only a table that isn't read from files is copied."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("row")
+    try:
+        return docs.select("*", place)
+    except AnalysisException:
+        return stage.write(docs, "rows").select("*", place)
+
+
 def reshard_files(docs: DataFrame, old: Column, stage: Stage, shards: int = 24) -> DataFrame:
     """``reshard``, and the affected shards written: size, text_crc32, shard and slot of their rows are read from the files.
 
-    Rows get a number first, so null and repeated ids are written once each. Rows of other shards are as placed.
+    Rows are named by their place in their file, so null and repeated ids are written once each; a table that isn't
+    read from files is written first. Rows of other shards are as placed.
     """
-    rows = stage.write(docs.select("doc_id", "text", old.cast("string").alias("source"), F.monotonically_increasing_id().alias("row")), "rows")
+    rows = numbered(docs.select("doc_id", "text", old.cast("string").alias("source")), stage)
     placed = stage.write(reshard(rows, F.col("source"), stage, shards, "row"), "placement")
+    stage.drop("base", "ranked", "rank-starts", "rank-places", "placed", "slot-starts", "slot-places")
     folder = f"{stage.root}/files"
     touched = rewrite(rows, placed, folder, "row")
     kind = docs.schema["doc_id"].dataType.simpleString()
