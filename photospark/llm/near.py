@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photospark.llm import kernels as K
-from photospark.llm.buckets import link
+from photospark.llm.buckets import gather, link
 from photospark.llm.stage import Stage, maybe_in
 
 BITS, BANDS, ROWS = 20, 60, 5
@@ -93,6 +93,12 @@ def _lists(rows: np.ndarray, some: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).reshape(-1)))
 
 
+def banded(batch: pa.RecordBatch):
+    """(rows, keys) of a batch (node, bands)."""
+    lists = batch.column(1)
+    yield np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().view(np.uint64)
+
+
 def confirm(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose whole texts (ut, vt) have the named sets and a Jaccard of ``percent`` or more."""
     def hold(batches):
@@ -125,9 +131,10 @@ def near_duplicates(docs: DataFrame, stage: Stage, percent: int = 75) -> DataFra
     prints = stage.write(fingerprints(docs), "prints")
     own = outer.write(prints.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "own")
     named = prints.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = stage.write(named.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("node", "doc_id", "n", "s.*"), "nodes")
-    members = nodes.select(F.explode("bands").alias("key"), "node", F.struct("n", F.slice("sketch", 1, COARSE // 64).alias("sketch")).alias("p"))
+    nodes, seen = stage.write_measured(named.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("node", "doc_id", "n", "s.*"), "nodes", n=F.count(F.lit(1)))
+    buckets = gather(nodes.select("node", "bands"), banded, BANDS * (seen["n"] or 0))
+    points = nodes.select("node", F.struct("n", F.slice("sketch", 1, COARSE // 64).alias("sketch")).alias("p"))
 
     def differ(a: str, b: str, bits: int):
         return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(bits // 64)), F.lit(0))
@@ -152,7 +159,7 @@ def near_duplicates(docs: DataFrame, stage: Stage, percent: int = 75) -> DataFra
         stage.drop(f"{name}-texts")
         return out
 
-    groups = link(members, near, apart, verify, stage, nodes.select("node", "bands", F.col("sketch").alias("q")), alike)
+    groups = link(buckets, points, near, apart, verify, stage, nodes.select("node", "bands", F.col("sketch").alias("q")), alike)
     least = nodes.join(groups, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     linked = nodes.join(groups, "node").join(least, "root").select("node", "least")
     classes = outer.write(nodes.select("node", "doc_id").join(linked, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id")), "classes")
