@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from photospark.llm import buckets, components, resharding
+from photospark.llm import buckets, components, lines, resharding
 from photospark.llm.stage import Stage
 
 
@@ -67,3 +67,18 @@ def test_buckets_travel_packed_and_whole(spark, monkeypatch):
     more = sorted((k, n, min(v), max(v)) for k, v in want.items() if len(v) > 2 for n in v)
     assert sorted((r["key"], r["node"], r["a"], r["z"]) for r in got if r["key"] is not None) == more
     assert sorted((r["a"], r["node"]) for r in got if r["key"] is None) == sorted((min(v), max(v)) for v in want.values() if len(v) == 2)
+
+
+def test_unlike_lines_are_told_apart_without_their_distance(monkeypatch):
+    rng = random.Random(34)
+    for _ in range(3000):
+        a = "".join(rng.choices("abé ", k=rng.randrange(60)))
+        b = list(a)
+        for _ in range(rng.randrange(9)):
+            k = rng.randrange(len(b) + 1)
+            b[k:k + rng.randrange(2)] = rng.choice(["", "a", "é"])
+        b = "".join(b)
+        limit = (1 - lines.SIMILAR) * max(len(a), len(b))
+        assert lines.similar(a, b) == (abs(len(a) - len(b)) <= limit and lines.edits(a, b) <= limit)
+    monkeypatch.setattr(lines, "edits", None)
+    assert not lines.similar("the harbour was closed for the winter months", "quite another text of the very same length it")
